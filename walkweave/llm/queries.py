@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, secrets, simhash, toxicity
+from . import bpe, decontaminate, langid, resharding, secrets, simhash, topk, toxicity
 from .common import table
 
 
@@ -31,6 +31,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(table(spark, sf_dir, "documents")).drop("old_shard")
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -42,9 +50,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
     "op7_bpe": op7_bpe,
+    "op8_resharding": op8_resharding,
+    "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
+    "op9_topk": topk.SQL,
 }

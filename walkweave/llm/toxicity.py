@@ -109,7 +109,7 @@ class LabelModel:
         return 1 / (1 + excess.sum(axis=1))
 
 
-def logistic(x: np.ndarray, target: np.ndarray, penalty: float = 0.3, rounds: int = 60) -> np.ndarray:
+def logistic(x: np.ndarray, target: np.ndarray, penalty: float = 0.02, rounds: int = 100) -> np.ndarray:
     """Weights (the last for the constant) of a logistic regression on soft labels, by damped Newton steps."""
     x = np.column_stack((x, np.ones(len(x)))).astype(float)
     weights = np.zeros(x.shape[1])
