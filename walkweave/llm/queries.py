@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, resharding, secrets, simhash, topk, toxicity
+from . import bpe, decontaminate, langid, resharding, secrets, simhash, substring, topk, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
+    "op5_substring": op5_substring,
     "op7_bpe": op7_bpe,
     "op8_resharding": op8_resharding,
     "op9_topk": op9_topk,
@@ -57,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
+    "op5_substring": substring.SQL,
     "op9_topk": topk.SQL,
 }
