@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import checkpointed
+
 
 class BallTree:
     """Balls over integer vectors; leaves hold up to ``leaf`` of them."""
@@ -128,7 +130,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         out: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
             dim = right.column("dim")[0].as_py()
-            tree = BallTree(left.column("id").to_numpy(), _matrix(left.column("v"), dim))
+            tree = BallTree(left.column("own_id").to_numpy(), _matrix(left.column("own_v"), dim))
             queries, least = _matrix(right.column("v"), dim), right.column("least").to_pylist()
             bounds = tree.bounds(queries)
             for i, own in enumerate(right.column("id").to_pylist()):
@@ -138,9 +140,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     def found(shard_range: Column, least: DataFrame) -> DataFrame:
-        own = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*key, "id", "v")
+        own = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*[F.col(c).alias(f"own_{c}") for c in (*key, "id", "v")])
         asked = least.withColumn("shard", F.explode(shard_range)).select(*key, "id", "v", "least")
-        return own.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+        return own.groupBy(*[f"own_{c}" for c in key]).cogroup(asked.groupBy(*key)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
 
     def best(rows: DataFrame) -> DataFrame:
         place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -148,6 +150,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     first = found(F.array(F.lit(0)), asking.withColumn("least", F.lit(None).cast("bigint")))
     if shards > 1:
+        first = checkpointed(first)
         kth = first.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).alias("least")).withColumnRenamed("query_id", "id")
         rest = found(F.sequence(F.lit(1), F.lit(shards - 1)), asking.join(kth, "id", "left"))
         first = first.union(rest)
