@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, resharding, secrets, simhash, substring, topk, toxicity
+from . import bpe, decontaminate, langid, resharding, secrets, simhash, substring, suffix, topk, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
+    "op6_suffix": op6_suffix,
     "op7_bpe": op7_bpe,
     "op8_resharding": op8_resharding,
     "op9_topk": op9_topk,

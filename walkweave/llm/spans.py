@@ -14,8 +14,9 @@ from .sketch import Sketch, bits_for, of_column
 
 
 def has_repeated_ids(docs: DataFrame, id_col: str) -> bool:
-    ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL").groupBy("id").count()
-    return bool(ids.where("count > 1").take(1))
+    """Whether any id is null or on several rows."""
+    ids = docs.select(F.col(f"`{id_col}`").alias("id")).groupBy("id").count()
+    return bool(ids.where("count > 1 OR id IS NULL").take(1))
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
