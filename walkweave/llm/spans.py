@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import checkpointed, map_rows
 from .sketch import Sketch, bits_for, of_column
 
 
@@ -35,6 +35,14 @@ def joined_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[new], ends[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(ends) - 1]))]
 
 
+def _merged(batches):
+    """Lists of spans become lists of maximal runs."""
+    for batch in batches:
+        runs = [joined_runs(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(1), batch.column(2))]
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in runs], kind), pa.array([y for _, y in runs], kind)], names=["key", "p1", "p2"])
+
+
 def finish(base: DataFrame, spans: DataFrame, fields: list[tuple[str, pa.DataType]], step: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """Each row of ``base`` (``key`` first, other columns) with its spans, through ``step``.
 
@@ -43,8 +51,8 @@ def finish(base: DataFrame, spans: DataFrame, fields: list[tuple[str, pa.DataTyp
     the keys with spans tells which rows need the join at all, so that the texts
     of all others are not moved.
     """
-    grouped = spans.groupBy("key").agg(F.collect_list(F.struct("p1", "p2")).alias("s"))
-    grouped = grouped.select("key", F.col("s.p1").alias("p1"), F.col("s.p2").alias("p2"))
+    listed = spans.groupBy("key").agg(F.collect_list(F.struct("p1", "p2")).alias("s"))
+    grouped = checkpointed(listed.select("key", F.col("s.p1").alias("p1"), F.col("s.p2").alias("p2")).mapInArrow(_merged, "key bigint, p1 array<int>, p2 array<int>"))
     rows = base.count()
     marked = of_column(grouped.select(F.xxhash64("key").alias("h")), ["h"], bits_for(rows, 27, 16))
     shared = base.sparkSession.sparkContext.broadcast(marked)

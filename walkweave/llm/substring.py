@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, sha
+from .common import byte_values, checkpointed, sha
 from .sketch import bits_for, build
 from .spans import finish, joined_runs, row_key
 from .windows import window_names, word_symbols
@@ -46,10 +46,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     key = row_key(docs, id_col, text_col)
     base = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"))
     base = base.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
-    prints = base.where("key IS NOT NULL").select("key", "doc_id", F.unhex(F.md5("text")).alias("m")).where("m IS NOT NULL")
+    prints = checkpointed(base.where("key IS NOT NULL AND text IS NOT NULL").select("key", "doc_id", F.unhex(F.md5("text")).alias("m"), F.octet_length("text").alias("bytes")))
     firsts = prints.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n")
-    copies = prints.join(firsts, "m").where("doc_id > first").select("key", F.lit(True).alias("copy")).distinct()
-    size = base.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    copies = checkpointed(prints.join(firsts, "m").where("doc_id > first").select("key", F.lit(True).alias("copy")).distinct())
+    size = prints.agg(F.sum("bytes")).first()
     if copies.limit(broadcast_rows + 1).count() <= broadcast_rows:
         copies = F.broadcast(copies)
     marked = base.join(copies, "key", "left").select("key", "doc_id", "text", "copy")
@@ -75,6 +75,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             for batch in batches:
                 keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 parts: list[tuple] = []
+
+                def rows():
+                    a, b, at, own, key_of = (np.concatenate(x) for x in zip(*parts))
+                    parts.clear()
+                    columns = {"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": own}
+                    return pa.RecordBatch.from_pydict(columns if once else columns | {"at": at, "key": key_of})
+
+                held = 0
                 for i, words in sequences(batch):
                     a, b = _names(words, width)
                     at = np.flatnonzero(shared.value.holds(a, b))
@@ -82,10 +90,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                         at = at[_first_places(a[at])]
                     if len(at):
                         parts.append((a[at], b[at], at.astype(np.int32), np.full(len(at), ids[i]), np.full(len(at), keys[i])))
+                        held += len(at)
+                    if held > 200_000:
+                        yield rows()
+                        held = 0
                 if parts:
-                    a, b, at, own, key_of = (np.concatenate(x) for x in zip(*parts))
-                    columns = {"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": own}
-                    yield pa.RecordBatch.from_pydict(columns if once else columns | {"at": at, "key": key_of})
+                    yield rows()
 
         return run
 
