@@ -23,7 +23,7 @@ _SHARD_BITS = 22
 
 def bits_for(hashes: int, most: int, cells_each: int = 4) -> int:
     """Bits of the cell numbers: about ``cells_each`` cells for each hash, within bounds."""
-    return max(16, min(most, math.ceil(math.log2(max(2, cells_each * hashes)))))
+    return max(16, min(most, round(math.log2(max(2, cells_each * hashes)))))
 
 
 class Sketch:

@@ -19,10 +19,10 @@ def has_repeated_ids(docs: DataFrame, id_col: str) -> bool:
     return bool(ids.where("count > 1 OR id IS NULL").take(1))
 
 
-def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+def row_key(docs: DataFrame, id_col: str, text_col: str, repeated: bool | None = None) -> Column:
     """A key that rows share only if id and text are equal: the id itself where ids are unique, else a hash of both."""
     own = F.col(f"`{id_col}`").cast("bigint")
-    return F.xxhash64(own, F.col(f"`{text_col}`").cast("string")) if has_repeated_ids(docs, id_col) else own
+    return F.xxhash64(own, F.col(f"`{text_col}`").cast("string")) if (has_repeated_ids(docs, id_col) if repeated is None else repeated) else own
 
 
 def joined_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, checkpointed, sha
-from .sketch import bits_for, build
-from .spans import finish, joined_runs, row_key
+from .common import byte_values, checkpointed, sha, stored
+from .sketch import bits_for, build, of_column
+from .spans import finish, has_repeated_ids, joined_runs, row_key
 from .windows import window_names, word_symbols
 
 
@@ -43,7 +43,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     broadcast instead of joined by a shuffle.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    key = row_key(docs, id_col, text_col)
+    keyed = has_repeated_ids(docs, id_col)  # else the id is the key
+    key = row_key(docs, id_col, text_col, keyed)
     base = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"))
     base = base.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
     prints = checkpointed(base.where("key IS NOT NULL AND text IS NOT NULL").select("key", "doc_id", F.unhex(F.md5("text")).alias("m"), F.octet_length("text").alias("bytes")))
@@ -67,10 +68,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             at = _first_places(a)
             yield a[at], b[at]
 
-    sketch = build(marked, hashes, bits_for((size[0] or 0) // 6, most_bits))
+    sketch = build(marked, hashes, bits_for((size[0] or 0) // 6, most_bits, 2))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def windows(once: bool):
+    def windows(chosen, once: bool):
         def run(batches):
             for batch in batches:
                 keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -80,12 +81,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                     a, b, at, own, key_of = (np.concatenate(x) for x in zip(*parts))
                     parts.clear()
                     columns = {"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": own}
-                    return pa.RecordBatch.from_pydict(columns if once else columns | {"at": at, "key": key_of})
+                    return pa.RecordBatch.from_pydict(columns if once else columns | {"at": at} | ({"key": key_of} if keyed else {}))
 
                 held = 0
                 for i, words in sequences(batch):
                     a, b = _names(words, width)
-                    at = np.flatnonzero(shared.value.holds(a, b))
+                    at = np.flatnonzero(chosen.value.holds(a, b))
                     if once and len(at):
                         at = at[_first_places(a[at])]
                     if len(at):
@@ -99,10 +100,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
         return run
 
-    seen = marked.mapInArrow(windows(True), "a bigint, b bigint, doc_id bigint")
-    repeated = seen.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n")
-    placed = marked.mapInArrow(windows(False), "a bigint, b bigint, doc_id bigint, at int, key bigint")
-    hits = placed.join(repeated, ["a", "b"]).where("doc_id > first").select("key", F.col("at").alias("p1"), (F.col("at") + width).alias("p2"))
+    seen = marked.mapInArrow(windows(shared, True), "a bigint, b bigint, doc_id bigint")
+    repeated = stored(seen.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n"))
+    shared.destroy()  # what was computed with it is stored
+    exact = docs.sparkSession.sparkContext.broadcast(of_column(repeated, ["a", "b"], bits_for(repeated.count(), most_bits, 8)))
+    placed = marked.mapInArrow(windows(exact, False), "a bigint, b bigint, doc_id bigint, at int" + ", key bigint" * keyed)
+    hits = placed.join(repeated, ["a", "b"]).where("doc_id > first").select(F.col("key" if keyed else "doc_id").alias("key"), F.col("at").alias("p1"), (F.col("at") + width).alias("p2"))
 
     def step(batch: pa.RecordBatch):
         counts, removed, digests = [], [], []
