@@ -42,23 +42,57 @@ from .spans import finish, joined_runs, row_key
 from .windows import _pair, byte_symbols, sliding_least, window_names
 
 _PLACE_BITS = 20
-_PIECE = 1 << 18
+_BUFFER = 1 << 17
 
 
-def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Core names, anchors, and first and last positions of their runs, for pieces of the text one after another."""
+def buffers(texts: list[bytes | None], length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of at least ``length`` bytes laid side by side in buffers, long ones in pieces that share ``length - 1`` bytes.
+
+    Each buffer comes with the pieces' starts in it, their texts' numbers and
+    their offsets in these texts.
+    """
+    held: list[bytes] = []
+    about: list[tuple[int, int, int]] = []
+    size = 0
+
+    def packed():
+        starts, numbers, offsets = (np.array(x, np.int64) for x in zip(*about))
+        return b"".join(held), starts, numbers, offsets
+
+    for number, data in enumerate(texts):
+        if not data or len(data) < length:
+            continue
+        for at in range(0, len(data) - length + 1, _BUFFER):
+            piece = data[at : at + _BUFFER + length - 1]
+            if held and size + len(piece) > _BUFFER + length:
+                yield packed()
+                held, about, size = [], [], 0
+            held.append(piece)
+            about.append((size, number, at))
+            size += len(piece)
+    if held:
+        yield packed()
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of consecutive ranges, and the numbers of their ranges."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner], owner
+
+
+def anchors(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The runs of positions that share an anchor: core names, anchors, first and last positions in the buffer, pieces' numbers."""
     core = length // 2 + 1
-    width = length - core + 1
-    for at in range(0, len(data) - length + 1, _PIECE):
-        piece = data[at : at + _PIECE + length - 1]
-        names = window_names(byte_symbols(piece, 0), core, 0)
-        # The place in the low bits makes the leftmost of equal names the least.
-        keyed = (names >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(names), dtype=np.uint64)
-        place = (sliding_least(keyed, width) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        new = np.flatnonzero(place[1:] != place[:-1]) + 1
-        first, last = np.concatenate(([0], new)), np.concatenate((new - 1, [len(place) - 1]))
-        found = place[first]
-        yield names[found], found + at, first + at, last + at
+    names = window_names(byte_symbols(data, 0), core, 0)
+    # The place in the low bits makes the leftmost of equal names the least.
+    keyed = (names >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(names), dtype=np.uint64)
+    least = sliding_least(keyed, length - core + 1) & np.uint64((1 << _PLACE_BITS) - 1)
+    sizes = np.diff(np.append(starts, len(data))) - length + 1
+    position, piece = _ranges(starts, sizes)
+    place = least[position].astype(np.int64)  # of positions whose string stays within their piece
+    new = np.flatnonzero((place[1:] != place[:-1]) | (piece[1:] != piece[:-1])) + 1
+    first, last = np.concatenate(([0], new)), np.concatenate((new - 1, [len(place) - 1]))
+    return names[place[first]], place[first], position[first], position[last], piece[first]
 
 
 def _lanes(core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +106,20 @@ def _spanned(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarra
     return np.frombuffer(b"".join(names), "<u8").reshape(-1, 2)
 
 
-def _repeats(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All strings' windows: string numbers, places, two lanes of names, and whether the name occurs again."""
-    names = [[window_names(byte_symbols(s, lane), length, lane) for s in strings] for lane in (0, 1)]
-    a, b = (np.concatenate(x) for x in names)
-    sizes = [len(x) for x in names[0]]
-    number = np.repeat(np.arange(len(strings)), sizes)
-    place = np.concatenate([np.arange(n) for n in sizes])
-    order = np.lexsort((b, a))
-    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    again = np.zeros(len(a), bool)
+def _repeats(strings: list[bytes], groups: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """All windows of strings of at least ``length`` bytes: string numbers, places, two lanes of names, whether the name occurs again in the string's group, and whether it is its first there."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    data = b"".join(strings)
+    at, number = _ranges(np.cumsum(sizes) - sizes, sizes - length + 1)
+    a, b = (window_names(byte_symbols(data, lane), length, lane)[at] for lane in (0, 1))
+    group = groups[number]
+    order = np.lexsort((b, a, group))
+    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]) & (group[order][1:] == group[order][:-1])
+    again, first = np.zeros(len(a), bool), np.ones(len(a), bool)
     again[order[1:]] |= same
     again[order[:-1]] |= same
-    return number, place, a, b, again
+    first[order[1:][same]] = False
+    return number, at - (np.cumsum(sizes) - sizes)[number], a, b, again, first
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most_bits: int = 29, group: int = 1024) -> DataFrame:
@@ -100,30 +135,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     bits = bits_for(2 * size // max(1, length // 2), most_bits)
 
     def rows(batch: pa.RecordBatch):
-        for key, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(2))):
-            if data and len(data) >= length:
-                for found in anchors(data, length):
-                    yield key, data, found
+        for data, starts, numbers, offsets in buffers(byte_values(batch.column(2)), length):
+            yield data, starts, numbers, offsets, anchors(data, starts, length)
 
     def cores(batch: pa.RecordBatch):
-        for _, _, found in rows(batch):
+        for *_, found in rows(batch):
             yield _lanes(found[0])
 
     seen = context.broadcast(build(base, cores, bits))
 
     def survivors(batch: pa.RecordBatch):
-        """Runs whose core is estimated to repeat, with the names of what they span."""
-        for key, data, (core, anchor, first, last) in rows(batch):
-            kept = seen.value.holds(*_lanes(core))
-            if kept.any():
-                anchor, first, last = anchor[kept], first[kept], last[kept]
-                yield key, data, core[kept], anchor, first, last, _spanned(data, anchor, first, last, length)
+        """Runs whose core is estimated to repeat, with the names of what they span: buffer, cores, names, keys, first and last positions, and what these lie before their places in the texts."""
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        for data, starts, numbers, offsets, (core, anchor, first, last, piece) in rows(batch):
+            kept = np.flatnonzero(seen.value.holds(*_lanes(core)))
+            if len(kept):
+                piece = piece[kept]
+                spanned = _spanned(data, anchor[kept], first[kept], last[kept], length)
+                yield data, core[kept], spanned, keys[numbers[piece]], first[kept], last[kept], offsets[piece] - starts[piece]
 
     def runs(batches):
         for batch in batches:
-            parts = [(core.view(np.int64), o[:, 0].view(np.int64), o[:, 1].view(np.int64), np.full(len(core), key), first, last + length) for key, _, core, _, first, last, o in survivors(batch)]
-            if parts:
-                columns = [np.concatenate(x) for x in zip(*parts)]
+            for _, core, o, key, first, last, shift in survivors(batch):
+                columns = [core.view(np.int64), o[:, 0].view(np.int64), o[:, 1].view(np.int64), key, first + shift, last + shift + length]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2)], names=["core", "a", "b", "key", "p1", "p2"])
 
     found = base.mapInArrow(runs, "core bigint, a bigint, b bigint, key bigint, p1 int, p2 int")
@@ -141,15 +175,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def strings(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for key, data, core, _, first, last, o in survivors(batch):
-                own = np.full(len(core), key, np.int64).view(np.uint64)
+            for data, core, o, key, first, last, shift in survivors(batch):
+                own = key.astype(np.int64).view(np.uint64)
                 a, b = np.ascontiguousarray(o[:, 0]), np.ascontiguousarray(o[:, 1])
-                for i in np.flatnonzero(asked.value.holds(_pair(a, own, 0), _pair(b, own, 1))).tolist():
-                    out.append((int(core[i].view(np.int64)), int(a[i].view(np.int64)), int(b[i].view(np.int64)), key, int(first[i]), data[first[i] : last[i] + length]))
-            if out:
-                types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["core", "a", "b", "key", "p1", "data"])
+                at = np.flatnonzero(asked.value.holds(_pair(a, own, 0), _pair(b, own, 1)))
+                if len(at):
+                    at = at[np.unique(np.stack((a[at], b[at], own[at]), axis=1), axis=0, return_index=True)[1]]
+                    texts = [data[p : q + length] for p, q in zip(first[at].tolist(), last[at].tolist())]
+                    columns = [core[at].view(np.int64), a[at].view(np.int64), b[at].view(np.int64), key[at], (first + shift)[at], texts]
+                    types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["core", "a", "b", "key", "p1", "data"])
 
     crowded = open_.where(F.col("strings") > group)
     payload = base.mapInArrow(strings, "core bigint, a bigint, b bigint, key bigint, p1 int, data binary").join(crowded, "core", "left")
@@ -159,33 +194,34 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     schema = pa.schema([("key", pa.int64()), ("p1", pa.int32()), ("p2", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("settled", pa.bool_())])
 
     def compare(batches):
-        held: list[tuple] = []  # the rows of the group at hand
-        at = None
+        held: list[tuple] = []  # rows of whole groups, and of the one at hand
 
         def close():
-            number, place, a, b, again = _repeats([r[7] for r in held], length)
-            key = np.array([r[5] for r in held], np.int64)[number]
-            start = np.array([r[6] for r in held], np.int64)[number] + place
-            runs_of = []
-            cut = np.flatnonzero(again[1:] & ~(again[:-1] & (number[1:] == number[:-1]))) + 1
-            heads = np.concatenate(([0] if again[0] else [], cut)).astype(np.int64)
-            stop = np.flatnonzero(again[:-1] & ~(again[1:] & (number[1:] == number[:-1])))
-            tails = np.concatenate((stop, [len(again) - 1] if again[-1] else [])).astype(np.int64)
+            groups = np.cumsum([0] + [x[:2] != y[:2] for x, y in zip(held[1:], held)])
+            number, place, a, b, again, lead = _repeats([r[7] for r in held], groups, length)
+            key = np.array([r[5] for r in held], np.int64)
+            start = np.array([r[6] for r in held], np.int64)
+            changes = np.flatnonzero(number[1:] != number[:-1])
+            before, after = np.concatenate(([False], again[:-1])), np.concatenate((again[1:], [False]))
+            before[changes + 1] = False
+            after[changes] = False
+            heads, tails = np.flatnonzero(again & ~before), np.flatnonzero(again & ~after)
             none = pa.nulls(len(heads), pa.int64())
-            runs_of.append(pa.RecordBatch.from_arrays([pa.array(key[heads]), pa.array(start[heads], pa.int32()), pa.array(start[tails] + length, pa.int32()), none, none, pa.array(np.ones(len(heads), bool))], schema=schema))
-            if held[0][2]:  # other groups have strings around this core too: one row for each name
-                one = np.unique(np.stack((a, b), axis=1), axis=0, return_index=True)[1]
-                runs_of.append(pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(start[one], pa.int32()), pa.array(start[one] + length, pa.int32()), pa.array(a[one].view(np.int64)), pa.array(b[one].view(np.int64)), pa.array(again[one])], schema=schema))
-            return runs_of
+            yield pa.RecordBatch.from_arrays([pa.array(key[number[heads]]), pa.array((start[number] + place)[heads], pa.int32()), pa.array((start[number] + place)[tails] + length, pa.int32()), none, none, pa.array(np.ones(len(heads), bool))], schema=schema)
+            shared = np.array([r[2] for r in held])[number]  # other groups have strings around this core too
+            one = np.flatnonzero(lead & shared)
+            if len(one):
+                own = (start[number] + place)[one]
+                yield pa.RecordBatch.from_arrays([pa.array(key[number[one]]), pa.array(own, pa.int32()), pa.array(own + length, pa.int32()), pa.array(a[one].view(np.int64)), pa.array(b[one].view(np.int64)), pa.array(again[one])], schema=schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != row[:2]:
-                    if held:
-                        yield from close()
-                    held, at = [], row[:2]
-                if not held or held[-1][3:5] != row[3:5]:
-                    held.append(row)
+                if held and held[-1][:5] == row[:5]:
+                    continue
+                if len(held) >= 1000 and held[-1][:2] != row[:2]:
+                    yield from close()
+                    held = []
+                held.append(row)
         if held:
             yield from close()
 
