@@ -1,0 +1,43 @@
+"""Small graphs that the tests share."""
+
+from walkweave.graph import KnowledgeGraph, entity_frame
+
+PREFIX = "http://people.example#"
+
+
+def full(*names: str) -> list[str]:
+    return [PREFIX + n for n in names]
+
+
+LOOP = [full("Alice", "knows", "Bob"), full("Alice", "knows", "Dean"), full("Bob", "knows", "Dean"), full("Dean", "loves", "Alice")]
+CHAIN = [full("Alice", "knows", "Bob"), full("Alice", "knows", "Dean")] + [full(a, "knows", b) for a, b in zip(["Bob", "Mathilde", "Alfy", "Stephane", "Alfred", "Emma"], ["Mathilde", "Alfy", "Stephane", "Alfred", "Emma", "Julio"])]
+ROOTS = full("Alice", "Bob", "Dean")
+
+
+def graph(spark, rows, **options) -> KnowledgeGraph:
+    return KnowledgeGraph.from_rows(spark, [tuple(r) for r in rows], **options)
+
+
+def roots(spark, names=ROOTS):
+    return entity_frame(spark, names)
+
+
+def short(name: str) -> str:
+    return name.removeprefix(PREFIX)
+
+
+def brute_walks(rows, root: str, depth: int, reverse: bool = False) -> set[tuple[str, ...]]:
+    """All walks by plain recursion."""
+    ways: dict[str, set] = {}
+    for s, p, o in map(tuple, rows):
+        a, b = (o, s) if reverse else (s, o)
+        ways.setdefault(a, set()).add((p, b))
+
+    def grow(walk: tuple[str, ...], left: int) -> set[tuple[str, ...]]:
+        tail = walk[0] if reverse else walk[-1]
+        steps = ways.get(tail, set()) if left else set()
+        if not steps:
+            return {walk}
+        return set().union(*(grow((n, p, *walk) if reverse else (*walk, p, n), left - 1) for p, n in steps))
+
+    return grow((root,), depth)

@@ -1,0 +1,59 @@
+import pytest
+from graphs import CHAIN, LOOP, PREFIX, full, graph, roots
+
+from walkweave.graph import KnowledgeGraph, entity_frame
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_triples_are_a_set_without_skipped_predicates_and_nulls(spark):
+    kg = graph(spark, [*LOOP, LOOP[0], (None, "p", "o")], skip_predicates=[PREFIX + "loves"])
+    assert rows(kg.triples) == sorted(map(tuple, LOOP[:3]))
+    many = graph(spark, LOOP, skip_predicates=[PREFIX + "loves", *map(str, range(2000))])
+    assert rows(many.triples) == rows(kg.triples)
+
+
+def test_vertices_of_skipped_triples_do_not_exist(spark):
+    kg = graph(spark, [("a", "p", "b"), ("c", "skip", "d")], skip_predicates=["skip"])
+    assert [r.v for r in kg.vertices().orderBy("v").collect()] == ["a", "b"]
+    assert [r.v for r in kg.add_vertices(spark.createDataFrame([("z",)], "v string")).vertices().orderBy("v").collect()] == ["a", "b", "z"]
+
+
+def test_hops_and_neighbors(spark):
+    kg = graph(spark, LOOP)
+    alice, dean = full("Alice", "Dean")
+    assert rows(kg.hops_of(alice)) == sorted([(PREFIX + "knows", PREFIX + "Bob"), (PREFIX + "knows", dean)])
+    assert {r.n for r in kg.hops_of(dean, True).collect()} == {alice, PREFIX + "Bob"}
+    assert kg.neighbors(dean, True).count() == 2 and kg.neighbors(dean).count() == 1
+
+
+def test_existence(spark):
+    kg = graph(spark, CHAIN)
+    assert kg.is_exist(roots(spark))
+    assert not kg.is_exist(entity_frame(spark, [*full("Alice"), "nobody"]))
+    found = {r.entity: r.exists for r in kg.exists(entity_frame(spark, [*full("Alice", "Alice"), "nobody"])).collect()}
+    assert found == {PREFIX + "Alice": True, "nobody": False}
+
+
+def test_removing_and_adding(spark):
+    kg = graph(spark, CHAIN)
+    gone = spark.createDataFrame([tuple(CHAIN[-1])], "s string, p string, o string")
+    less = kg.remove(gone)
+    assert less.triples.count() == len(CHAIN) - 1
+    julio = entity_frame(spark, full("Julio"))
+    assert not less.is_exist(julio) and kg.remove(gone, keep_vertices=True).is_exist(julio)
+    assert rows(less.add(gone).triples) == rows(kg.triples)
+
+
+def test_empty_graph(spark):
+    kg = KnowledgeGraph(spark.createDataFrame([], "s string, p string, o string"))
+    assert kg.vertices().count() == 0 and not kg.is_exist(roots(spark))
+
+
+@pytest.mark.parametrize("literals", [[], [["p"]]])
+def test_literals_without_chains_or_values(spark, literals):
+    kg = graph(spark, [("a", "q", "b")], literals=literals)
+    found = kg.get_literals(entity_frame(spark, ["a"])).collect()
+    assert [(r.kind, r["values"]) for r in found] == [("none", [])] * len(literals)

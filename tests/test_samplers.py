@@ -1,0 +1,77 @@
+import itertools
+
+import pytest
+from graphs import CHAIN, LOOP, graph, short
+from pyspark.sql import functions as F
+
+from walkweave.operators import samplers as S
+from walkweave.operators.pagerank import pagerank
+
+KINDS = [S.ObjFreqSampler, S.PredFreqSampler, S.ObjPredFreqSampler, S.PageRankSampler, S.WideSampler]
+
+
+def weights(kg, sampler, reverse=False):
+    return {(short(r.v), short(r.p), short(r.n)): r.w for r in sampler.fit(kg).weigh(kg.hops(reverse)).collect()}
+
+
+def test_plain_weights(spark):
+    loop, chain = graph(spark, LOOP), graph(spark, CHAIN)
+    assert set(weights(loop, S.UniformSampler()).values()) == {1.0}
+    assert weights(loop, S.ObjFreqSampler())[("Bob", "knows", "Dean")] == 2
+    assert weights(loop, S.PredFreqSampler())[("Alice", "knows", "Bob")] == 3
+    assert weights(loop, S.ObjPredFreqSampler())[("Dean", "loves", "Alice")] == 1
+    wide = weights(loop, S.WideSampler())
+    assert (wide[("Alice", "knows", "Bob")], wide[("Alice", "knows", "Dean")], wide[("Dean", "loves", "Alice")]) == (4, 4, 3)
+    wide = weights(chain, S.WideSampler())
+    assert wide[("Alice", "knows", "Dean")] == wide[("Emma", "knows", "Julio")] == 4.5 and wide[("Alice", "knows", "Bob")] == 9
+
+
+def test_pagerank(spark):
+    got = {short(r.v): round(r.rank, 6) for r in pagerank(graph(spark, LOOP)).collect()}
+    assert got == {"Alice": 0.387789, "Bob": 0.214811, "Dean": 0.3974}
+    got = {short(r.v): round(r.rank, 6) for r in pagerank(graph(spark, CHAIN)).collect()}
+    assert (got["Alice"], got["Bob"], got["Julio"]) == (0.039448, 0.056213, 0.185004)
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("inverse, split, reverse", itertools.product([False, True], repeat=3))
+def test_shares(spark, kind, inverse, split, reverse):
+    kg = graph(spark, LOOP)
+    sampler = kind(inverse, split).fit(kg)
+    rows = sampler.probabilities(kg.hops(reverse)).collect()
+    totals = {}
+    for r in rows:
+        assert 0 <= r.prob <= 1
+        totals[r.v] = totals.get(r.v, 0) + r.prob
+    assert all(abs(t - 1) < 1e-9 for t in totals.values())
+    plain = {(r.v, r.p, r.n): r.w for r in sampler.weigh(kg.hops(reverse)).collect()}
+    degree = {r.o: r.degree for r in sampler.in_degrees().collect()}
+    for r in rows:
+        own = [w for (v, _, _), w in plain.items() if v == r.v]
+        w = plain[(r.v, r.p, r.n)]
+        w = max(own) - (w - min(own)) if inverse else w
+        assert abs(r.w - (w / degree[r.n] if split and degree.get(r.n) else w)) < 1e-9
+
+
+def test_intervals_follow_each_other(spark):
+    kg = graph(spark, [("hub", "p", f"n{i:03}") for i in range(200)] + [("a", "p", "b")])
+    rows = S.UniformSampler().fit(kg).intervals(kg.hops()).orderBy("v", "p", "n").collect()
+    at = 0.0
+    for r in rows[1:]:
+        assert abs(r.lo - at) < 1e-9 and abs(r.hi - r.lo - 1 / 200) < 1e-9
+        at = r.hi
+    assert abs(at - 1) < 1e-9 and rows[0].v == "a"
+
+
+def test_weights_need_a_fit(spark):
+    for kind in KINDS:
+        with pytest.raises(ValueError):
+            kind().weigh(spark.createDataFrame([], "v string, p string, n string"))
+
+
+def test_unknown_hops_weigh_nothing(spark):
+    kg = graph(spark, LOOP)
+    odd = spark.createDataFrame([("v", "none", "x"), ("v", "none", "y")], "v string, p string, n string")
+    rows = S.ObjPredFreqSampler().fit(kg).probabilities(odd).collect()
+    assert [(r.w, r.prob) for r in rows] == [(0.0, 0.5)] * 2
+    assert F is not None
