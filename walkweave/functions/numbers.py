@@ -20,21 +20,20 @@ def to_float(text: Column) -> Column:
 
 
 def float_text(number: Column) -> Column:
-    """A double as Python's str() writes it."""
-    java = number.cast("string")
-    sign = F.when(java.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    body = F.regexp_replace(java, "^-", "")
-    mantissa = F.regexp_replace(F.substring_index(body, "E", 1), r"\.0$", "")
-    digits = F.regexp_replace(mantissa, r"\.", "")
-    power = F.substring_index(body, "E", -1).try_cast("int")
-    whole = F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+    """A double as Python's str() writes it: the fewest digits that give the same double."""
+    size = F.abs(number)
+    tries = [F.format_string(f"%.{k}e", size) for k in (14, 15, 16)]
+    shown = F.coalesce(*[F.when(t.try_cast("double") == size, t) for t in tries], tries[-1])
+    power = F.substring_index(shown, "e", -1).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(shown, "e", 1), r"\.", ""), "(?<=.)0+$", "")
     part = F.substr(digits, power + 2)
-    large = F.concat(whole, F.lit("."), F.when(F.length(part) > 0, part).otherwise(F.lit("0")))
+    large = F.concat(F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), F.when(F.length(part) > 0, part).otherwise(F.lit("0")))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    scientific = F.concat(mantissa, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    shown = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
-    named = F.when(F.isnan(number), F.lit("nan")).when(java.endswith("Infinity"), F.concat(sign, F.lit("inf")))
-    return F.coalesce(named, F.when(body.contains("E"), F.concat(sign, shown)).otherwise(java))
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")))
+    scientific = F.concat(mantissa, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.format_string("%02d", F.abs(power)))
+    plain = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
+    sign = F.when(number.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.isnan(number), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(number.isNotNull(), F.concat(sign, plain))
 
 
 def literal_value(text: Column) -> Column:

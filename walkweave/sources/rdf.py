@@ -23,6 +23,14 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 
 
+def _resolve(base: str, reference: str) -> str:
+    """The reference seen from the base; whole addresses and a trailing ``#`` stay as they are."""
+    if not base or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", reference):
+        return reference
+    whole = urljoin(base, reference)
+    return whole + "#" if reference.endswith("#") and not whole.endswith("#") else whole
+
+
 def rdf_xml(data: bytes, base: str = "") -> Iterator[Triple]:
     """The triples of an RDF/XML document: node and property elements, property attributes, collections, parse types."""
     count = 0
@@ -39,9 +47,9 @@ def rdf_xml(data: bytes, base: str = "") -> Iterator[Triple]:
         at = element.get(f"{_XML}base", at)
         own = {name(k): v for k, v in element.attrib.items() if not k.startswith(_XML)}
         if f"{RDF}about" in own:
-            subject = urljoin(at, own.pop(f"{RDF}about"))
+            subject = _resolve(at, own.pop(f"{RDF}about"))
         elif f"{RDF}ID" in own:
-            subject = urljoin(at, "#" + own.pop(f"{RDF}ID"))
+            subject = _resolve(at, "#" + own.pop(f"{RDF}ID"))
         elif f"{RDF}nodeID" in own:
             subject = "_:" + own.pop(f"{RDF}nodeID")
         else:
@@ -50,7 +58,7 @@ def rdf_xml(data: bytes, base: str = "") -> Iterator[Triple]:
         if name(element.tag) != f"{RDF}Description":
             yield subject, f"{RDF}type", name(element.tag)
         for k, v in own.items():
-            yield subject, k, urljoin(at, v) if k == f"{RDF}type" else v
+            yield subject, k, _resolve(at, v) if k == f"{RDF}type" else v
         members = 0
         for child in element:
             predicate = name(child.tag)
@@ -88,7 +96,7 @@ def rdf_xml(data: bytes, base: str = "") -> Iterator[Triple]:
                 yield from rest
         elif f"{RDF}resource" in own or f"{RDF}nodeID" in own or (own and not len(child)):
             if f"{RDF}resource" in own:
-                obj = urljoin(at, own.pop(f"{RDF}resource"))
+                obj = _resolve(at, own.pop(f"{RDF}resource"))
             else:
                 obj = "_:" + own.pop(f"{RDF}nodeID") if f"{RDF}nodeID" in own else fresh()
             yield subject, predicate, obj
@@ -163,7 +171,7 @@ def turtle(text: str, base: str = "") -> Iterator[Triple]:
 
     def iri(kind: str, value: str) -> str:
         if kind == "iri":
-            return urljoin(base, _unescaped(value[1:-1])) if base else _unescaped(value[1:-1])
+            return _resolve(base, _unescaped(value[1:-1]))
         prefix, _, local = value.partition(":")
         if prefix not in prefixes:
             raise ValueError(f"Turtle: unknown prefix {prefix!r}")
@@ -276,7 +284,7 @@ def json_ld(data: bytes, base: str = "") -> Iterator[Triple]:
             return full(head, context, True) + tail
         if colon or name.startswith("@"):
             return name
-        return context.get("@vocab", "") + name if vocab else urljoin(context.get("@base", base), name)
+        return context.get("@vocab", "") + name if vocab else _resolve(context.get("@base", base), name)
 
     def text(value) -> str:
         return str(value).lower() if isinstance(value, bool) else value if isinstance(value, str) else json.dumps(value)
