@@ -1,0 +1,37 @@
+import os
+
+import pytest
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_stages_one_by_one(spark):
+    """Each stage's decisions, against what the operators say of its input."""
+    from walkweave.llm import decontaminate, langid, secrets, simhash
+    from walkweave.llm.common import stored, table
+
+    docs = table(spark, SF, "documents")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, SF))
+        kept = {r.doc_id for r in out.select("doc_id").collect()}
+        before = {r.doc_id for r in docs.select("doc_id").collect()}
+        seen.append(len(kept))
+        if name.startswith("language"):
+            assert kept == {r.doc_id for r in langid.identify(docs).where("lang_pred <> 'und' AND score >= 0.5").collect()}
+        elif name.startswith("near"):
+            assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+        elif name.startswith("benchmark"):
+            assert kept == before - {r.doc_id for r in decontaminate.find_contamination(docs, table(spark, SF, "benchmark")).where("contaminated").collect()}
+        elif name.startswith("secret"):
+            assert kept == before
+            assert {r.doc_id: r.text for r in out.collect()} == {r.doc_id: secrets.mask(r.text, secrets.scan(r.text)) for r in docs.collect()}
+        else:
+            assert kept == before
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert out.columns == columns
+        docs = out
+    assert corpus_pipeline.run(spark, SF).count() == seen[-1] > 0
