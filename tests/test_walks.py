@@ -102,10 +102,20 @@ def test_split_words(spark):
     assert relabel.split_words(walks, include_root=False).first().walk == ["has", "bond", "3209"]
 
 
-def test_rare_hops(spark):
+@pytest.mark.parametrize("reverse", [False, True])
+def test_words_of_hops_are_words_of_walks(spark, reverse):
+    rows = [("http://x.org/a#d19", "http://x.org/a#hasBond", "http://x.org/a#bond3209"), ("http://x.org/a#bond3209", "isIn", "12.5"), ("http://x.org/a#bond3209", "isIn", "***")]
+    kg, who = graph(spark, rows), entity_frame(spark, [rows[0][0], rows[1][0], "12.5"])
+    plain = W.Walker(2, with_reverse=reverse).walks(kg, who, None)
+    got = W.SplitWalker(2, with_reverse=reverse).extract(kg, who)
+    assert collected(got) == collected(relabel.split_words(plain, reverse=reverse))
+
+
+@pytest.mark.parametrize("most", [500, 0])
+def test_rare_hops(spark, most):
     rows = [("a", 0, ["a", "p", "b", "rare", "c", "p", "d"]), ("a", 0, ["a", "p", "b"]), ("z", 0, ["z", "rare2", "y"]), ("b", 2, ["a", "rare", "b", "p", "c"])]
     walks = spark.createDataFrame(rows, "entity string, root_idx int, walk array<string>")
-    got = sorted((r.threshold_idx, r.entity, r.root_idx, tuple(r.walk)) for r in relabel.drop_rare_hops(walks, [0.0, 0.6]).collect())
+    got = sorted((r.threshold_idx, r.entity, r.root_idx, tuple(r.walk)) for r in relabel.drop_rare_hops(walks, [0.0, 0.6], most).collect())
     assert [g for g in got if g[0] == 1] == [(1, "a", 0, ("a", "p", "b")), (1, "a", 0, ("a", "p", "b", "p", "d")), (1, "b", 0, ("b", "p", "c")), (1, "z", 0, ("z",))]
     assert sorted(g[1:] for g in got if g[0] == 0) == sorted((e, i, tuple(w)) for e, i, w in rows)
 

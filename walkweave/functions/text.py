@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import float_text, to_float
+from .numbers import FLOAT, NAN, float_text, let, to_float
 
 
 def local_name(name: Column) -> Column:
     """Of a web name the last piece after ``#`` or white space, else the name."""
-    pieces = F.filter(F.split(name, r"[#\s]+"), lambda x: x != "")
-    return F.when(name.contains("http") & (F.size(pieces) > 0), F.element_at(pieces, -1)).otherwise(name)
+    piece = F.regexp_extract(name, r"([^#\s]+)[#\s]*$", 1)
+    return F.when(name.contains("http") & (piece != ""), piece).otherwise(name)
 
 
 def predicate_words(name: Column) -> Column:
@@ -21,13 +21,18 @@ def predicate_words(name: Column) -> Column:
 
 def node_words(name: Column) -> Column:
     """A number as one word; else runs of letters and digits, and letters followed by digits as two."""
-    own = local_name(name)
-    number = to_float(own)
-    words = F.filter(F.split(own, "[^A-Za-z0-9]+"), lambda x: x != "")
     pair = r"^([A-Za-z]+)([0-9]+)"
-    only = F.get(words, 0)
-    two = F.array(F.regexp_extract(only, pair, 1), F.regexp_extract(only, pair, 2))
-    return F.when(number.isNotNull(), F.array(float_text(number))).when((F.size(words) == 1) & only.rlike(pair), two).otherwise(words)
+
+    def split(words: Column) -> Column:
+        only = F.get(words, 0)
+        two = F.array(F.regexp_extract(only, pair, 1), F.regexp_extract(only, pair, 2))
+        return F.when((F.size(words) == 1) & only.rlike(pair), two).otherwise(words)
+
+    def cut(own: Column) -> Column:
+        words = let(F.regexp_extract_all(own, F.lit("([A-Za-z0-9]+)"), 1), split)
+        return F.when(own.rlike(FLOAT) | own.rlike(NAN), F.array(float_text(to_float(own)))).otherwise(words)
+
+    return let(local_name(name), cut)
 
 
 def ngrams(name: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from walkweave.functions.text import node_words, predicate_words
 from walkweave.functions.tokens import STYLES
+from walkweave.spark import cut
 
 from .ids import dense_ids
 
@@ -91,7 +92,22 @@ def split_words(walks: DataFrame, include_root: bool = True, reverse: bool = Fal
     return walks.withColumn("walk", F.array_distinct(F.flatten(ordered))).withColumn("root_idx", F.lit(0)).distinct()
 
 
-def drop_rare_hops(walks: DataFrame, thresholds: Sequence[float] = (0.01,)) -> DataFrame:
+def word_hops(hops: DataFrame) -> DataFrame:
+    """Hops that show predicate and vertex as their lower-case words, for :func:`expand <walkweave.operators.walks.expand>`.
+
+    A hop's words are made once, however many walks take it.
+    """
+    words = [F.array_join(F.transform(make(F.col(c)), F.lower), _GAP) for make, c in ((predicate_words, "p"), (node_words, "n"))]
+    return hops.select("v", words[0].alias("p"), "n", words[1].alias("label"))
+
+
+def joined_words(walks: DataFrame, include_root: bool = True, reverse: bool = False) -> DataFrame:
+    """What :func:`split_words` makes, of walks over :func:`word_hops`."""
+    shown = F.transform("walk", lambda x, i: F.when(i == F.col("root_idx"), F.array(x) if include_root else F.array().cast("array<string>")).otherwise(F.filter(F.split(x, _GAP), lambda w: w != "")))
+    return walks.withColumn("walk", F.array_distinct(F.flatten(F.reverse(shown) if reverse else shown))).withColumn("root_idx", F.lit(0)).distinct()
+
+
+def drop_rare_hops(walks: DataFrame, thresholds: Sequence[float] = (0.01,), most_in_map: int = 500) -> DataFrame:
     """For each threshold the walks without hops whose predicate is in fewer than that share of all walks.
 
     A hop goes with the vertex that it leads to (away from the root).  Walks
@@ -99,17 +115,22 @@ def drop_rare_hops(walks: DataFrame, thresholds: Sequence[float] = (0.01,)) -> D
     its root.  Adds ``threshold_idx``.
     """
     rest = [c for c in walks.columns if c not in ("walk", "root_idx")]
-    ahead = F.expr("transform(sequence(0, size(walk) - 1), i -> named_struct('i', i, 'x', walk[i], 'p', IF(i < root_idx, get(walk, i - i % 2 + 1), get(walk, i + i % 2 - 1))))")
-    rows = walks.withColumn("__id", F.xxhash64("entity", "root_idx", "walk"))
+    ahead = F.expr("transform(walk, (x, i) -> named_struct('i', i, 'x', x, 'p', CASE WHEN i < root_idx THEN get(walk, i - i % 2 + 1) WHEN i > root_idx THEN get(walk, i + i % 2 - 1) END))")
     total = walks.count()
-    places = rows.select(*rest, "root_idx", "__id", F.explode(ahead).alias("h")).select(*rest, "root_idx", "__id", "h.i", "h.x", "h.p")
-    predicates = rows.select(F.explode(F.expr("array_distinct(filter(walk, (x, i) -> i % 2 = 1))")).alias("p"))
-    often = predicates.groupBy("p").agg((F.count("p") / F.lit(total)).alias("share"))
-    marked = places.join(often, "p", "left")
+    predicates = walks.select(F.explode(F.expr("array_distinct(filter(walk, (x, i) -> i % 2 = 1))")).alias("p"))
+    often = cut(predicates.groupBy("p").agg((F.count("p") / F.lit(total)).alias("share")))
     levels = F.array(*[F.struct(F.lit(k).alias("threshold_idx"), F.lit(float(t)).alias("t")) for k, t in enumerate(thresholds)])
-    leveled = marked.withColumn("__l", F.explode(levels))
-    kept = leveled.where((F.col("i") == F.col("root_idx")) | (F.col("share") >= F.col("__l.t")))
-    merged = kept.groupBy(*rest, F.col("__l.threshold_idx").alias("threshold_idx"), "root_idx", "__id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("w"))
+    few = often.orderBy("p").limit(most_in_map + 1).collect()
+    if len(few) <= most_in_map:
+        # So few predicates fit into the expression, and walks need not be taken apart.
+        share = F.create_map(*[x for r in few for x in (F.lit(r["p"]), F.lit(r["share"]))]) if few else F.create_map(F.lit(""), F.lit(0.0))
+        leveled = walks.withColumn("__l", F.explode(levels)).withColumn("__h", ahead)
+        w = F.filter("__h", lambda h: h["p"].isNull() | (F.element_at(share, h["p"]) >= F.col("__l.t")))
+        merged = leveled.select(*rest, F.col("__l.threshold_idx").alias("threshold_idx"), "root_idx", F.transform(w, lambda h: F.struct(h["i"].alias("i"), h["x"].alias("x"))).alias("w"))
+    else:
+        places = walks.withColumn("__id", F.xxhash64("entity", "root_idx", "walk")).select(*rest, "root_idx", "__id", F.explode(ahead).alias("h")).select(*rest, "root_idx", "__id", "h.i", "h.x", "h.p")
+        kept = places.join(often, "p", "left").withColumn("__l", F.explode(levels)).where(F.col("p").isNull() | (F.col("share") >= F.col("__l.t")))
+        merged = kept.groupBy(*rest, F.col("__l.threshold_idx").alias("threshold_idx"), "root_idx", "__id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("w"))
     new_root = F.size(F.filter("w", lambda y: y["i"] < F.col("root_idx")))
     shorter = merged.select(*rest, "threshold_idx", new_root.alias("root_idx"), F.transform("w", lambda y: y["x"]).alias("walk"))
     long = shorter.where(F.size("walk") >= 3)

@@ -25,7 +25,7 @@ from walkweave.sources.relational import BALANCE, EDGES, roots, star_graph
 
 from .embedders import FastText, Word2Vec
 from .pipeline import upsert
-from .walkers import AnonymousWalker, CommunityWalker, RandomWalker, WLWalker
+from .walkers import AnonymousWalker, CommunityWalker, RandomWalker, SplitWalker, WLWalker
 
 Query = Callable[[SparkSession, str], DataFrame]
 SKIPPED = ("has_priority", "contains")
@@ -121,7 +121,7 @@ def ngram_wildcard1(spark, sf_dir):
 
 
 def split_tokens(spark, sf_dir):
-    return _joined(relabel.split_words(_plain(spark, sf_dir, orders, 2)))
+    return _joined(SplitWalker(2).extract(star_graph(spark, sf_dir), orders(spark, sf_dir)))
 
 
 def halk(thresholds: tuple[float, ...]) -> Query:
