@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch at most: texts can be long, and a worker holds a batch and what it makes of it at once.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to ``BATCH_ROWS``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """The id and the text under fixed names, so that no other column of ``docs`` can clash."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
@@ -53,6 +64,7 @@ def map_rows(df: DataFrame, fields: list[tuple[str, pa.DataType]], make: Callabl
     ``make`` runs once in a task and returns the function that turns a batch
     into columns (or an iterable of column lists, for several output batches).
     """
+    bounded_batches(df.sparkSession)
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +79,7 @@ def map_rows(df: DataFrame, fields: list[tuple[str, pa.DataType]], make: Callabl
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
     """The rows for which the task's function says True, with all their columns."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

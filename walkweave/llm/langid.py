@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_rows, texts
+from .common import bounded_batches, keep_rows, map_rows, texts
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -212,6 +212,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
@@ -229,16 +230,14 @@ def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mode
     return learn(docs.where(~held_out(id_col) & F.col(f"`{id_col}`").isNotNull()), text_col, lang_col)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None, slice_rows: int = 2_500) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """Each text's language: ``doc_id, held_out, lang_pred, score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model or _learned(docs, id_col, text_col, lang_col))
 
     def make():
         def step(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                found = shared.value.predict(part.column(1).to_pylist())
-                yield [part.column(0).to_pylist(), part.column(2).to_pylist(), [x for x, _ in found], [y for _, y in found]]
+            found = shared.value.predict(batch.column(1).to_pylist())
+            yield [batch.column(0).to_pylist(), batch.column(2).to_pylist(), [x for x, _ in found], [y for _, y in found]]
 
         return step
 
@@ -246,15 +245,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return map_rows(texts(docs, id_col, text_col, held_out(id_col).alias("held_out")), fields, make)
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, slice_rows: int = 2_500) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.4) -> DataFrame:
     """The documents with a language whose spans hold at least a share ``least`` of the letters, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(_learned(docs, id_col, text_col, lang_col))
     place = docs.columns.index(text_col)
 
     def make():
         def step(batch: pa.RecordBatch) -> list[bool]:
-            found = (x for at in range(0, batch.num_rows, slice_rows) for x in shared.value.predict(batch.slice(at, slice_rows).column(place).to_pylist()))
-            return [lang != UNDETERMINED and score >= least for lang, score in found]
+            return [lang != UNDETERMINED and score >= least for lang, score in shared.value.predict(batch.column(place).to_pylist())]
 
         return step
 

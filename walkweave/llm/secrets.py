@@ -22,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, sha, texts
+from .common import bounded_batches, map_rows, sha, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -240,6 +240,7 @@ def mask(text: str, found: list[Span], sign: str = "[secret]") -> str:
 
 def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns, with the secrets of the text column masked."""
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches):

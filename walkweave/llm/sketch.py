@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 _SHARD_BITS = 22
 
 
@@ -55,6 +57,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], bits: int, least: int = 2, lanes: int = 2, flush: int = 2_000_000) -> Sketch:
     """The sketch of all hashes that the function finds in the rows of ``df``; ``least`` is 1 or 2."""
+    bounded_batches(df.sparkSession)
     shard_bits = min(bits, _SHARD_BITS)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,7 +48,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     base = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"))
     base = base.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
     prints = checkpointed(base.where("key IS NOT NULL AND text IS NOT NULL").select("key", "doc_id", F.unhex(F.md5("text")).alias("m"), F.octet_length("text").alias("bytes")))
-    firsts = prints.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n")
+    # Stored apart, so that Spark can split the join's share of a text with very many copies.
+    firsts = checkpointed(prints.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n"))
     copies = checkpointed(prints.join(firsts, "m").where("doc_id > first").select("key", F.lit(True).alias("copy")).distinct())
     size = prints.agg(F.sum("bytes")).first()
     if copies.limit(broadcast_rows + 1).count() <= broadcast_rows:

@@ -103,7 +103,7 @@ class BallTree:
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     """Vectors as rows: doubles where all sums are exact in them, else Python's whole numbers."""
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
     most = float(np.abs(flat.astype(np.float64)).max(initial=0))
     return flat.astype(np.float64) if most * most * max(1, dim) < 2**52 else flat.astype(object)
 

@@ -13,8 +13,8 @@ smallest hashes of the id, equal texts once); everything else covers all rows.
 
 Edge cases: a null or empty text, or one without any voter, gets the classifier's
 base score; rows with a null label or id teach nothing, and an id with several
-labels counts as its highest; without toxic labels the score is the smoothed base
-rate; extra columns are ignored; repeated rows give repeated rows.
+labels counts as its highest; without toxic labels every score is the smoothed
+base rate, below one half; extra columns are ignored; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, texts
+from .common import bounded_batches, checkpointed, map_rows, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"[!?]{2,}")
@@ -185,6 +185,7 @@ def held_out(id_col: str = "doc_id"):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, candidates: int = 5_000, voters: int = 96) -> Classifier:
     """The classifier, from a sample of at most ``sample_rows`` labelled rows outside the held-out part."""
+    bounded_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y")).where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("y").alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # so many rows of two numbers may be broadcast
@@ -219,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = sorted((r[0], list(r[1])) for r in sample.mapInArrow(votes, "y int, fires array<int>").collect())
     labels_of = np.array([y for y, _ in rows], float)
     if not labels_of.any():
-        rate = 1 / (len(rows) + 2)
+        rate = 1 / (len(rows) + 3)
         return Classifier([], np.array([np.log(rate / (1 - rate))]))
     places = _choose([(y, [t for t in f if t < len(terms)]) for y, f in rows], terms, voters)
     places += range(len(terms), len(terms) + len(PATTERNS))
