@@ -168,3 +168,18 @@ def test_each_vertex_is_fetched_once(spark, endpoint):
 def test_stored_answers(spark):
     answer = json.dumps({"results": {"bindings": [{"p": {"value": "p"}, "o": {"value": "o"}}]}})
     assert rows(sparql.hops_of_json(spark.createDataFrame([("v", answer)], "v string, response string"))) == [("v", "p", "o")]
+
+
+def test_answers_are_kept(endpoint):
+    import pickle
+
+    Endpoint.asked.clear()
+    connector = sparql.SPARQLConnector(endpoint, kept=1)
+    query = sparql.hops_query("http://a")
+    assert connector.fetch(query) == connector.fetch(query) and len(Endpoint.asked) == 1
+    connector.fetch(sparql.hops_query("http://b"))
+    connector.fetch(query)
+    assert len(Endpoint.asked) == 3
+    pickle.loads(pickle.dumps(connector)).fetch(query)
+    sparql.SPARQLConnector(endpoint, kept=0).fetch(query)
+    assert len(Endpoint.asked) == 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,13 @@ class KnowledgeGraph:
         rest = self.triples.join(triples.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
         return self._with(rest, self.vertices() if keep_vertices else self._more_vertices, True)
 
-    def persist(self) -> KnowledgeGraph:
-        self.triples = self.triples.persist()
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK_DESER) -> KnowledgeGraph:
+        """Keeps the triples at a storage level, for many walks over one graph."""
+        self.triples = self.triples.persist(level)
+        return self
+
+    def unpersist(self) -> KnowledgeGraph:
+        self.triples = self.triples.unpersist()
         return self
 
     def hops(self, reverse: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -44,6 +45,7 @@ class WalkEmbedding:
 
         ValueError if an entity is not in the graph.
         """
+        start = time.perf_counter()
         if not skip_verify and not kg.is_exist(entities):
             raise ValueError("some entities are not in the graph")
         found = []
@@ -54,14 +56,20 @@ class WalkEmbedding:
         self.walk_store = walks if self.walk_store is None else cut(upsert(self.walk_store, walks))
         self.entities = entities.select("pos", "entity") if self.entities is None else upsert(self.entities, entities.select("pos", "entity"))
         if self.verbose:
-            log.info("%d walks of %d entities", walks.count(), entities.count())
+            log.info("%d walks of %d entities%s", walks.count(), entities.count(), self._since(start))
         return walks
 
+    def _since(self, start: float) -> str:
+        return f" in {time.perf_counter() - start:.1f} s" if self.verbose == 2 else ""
+
     def fit(self, kg, entities: DataFrame, is_update: bool = False, skip_verify: bool = False) -> WalkEmbedding:
         if not is_update:
             self.walk_store = self.entities = self.embeddings = self.literals = None
         walks = self.get_walks(kg, entities, skip_verify)
+        start = time.perf_counter()
         self.embedder.fit(walks, is_update)
+        if self.verbose:
+            log.info("fitted%s", self._since(start))
         return self
 
     def transform(self, kg, entities: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator, Sequence
+import time
+from collections import OrderedDict
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.error import URLError
 from urllib.parse import urlencode
@@ -59,12 +61,31 @@ def check_location(location: str) -> None:
 
 
 class SPARQLConnector:
-    """Asks an endpoint; ``fetch_all`` asks several questions at once.  Answers are JSON, parsed."""
+    """Asks an endpoint; ``fetch_all`` asks several questions at once.  Answers are JSON, parsed.
 
-    def __init__(self, endpoint: str, threads: int = 8, timeout: float = 60):
-        self.endpoint, self.threads, self.timeout = endpoint, threads, timeout
+    The latest ``kept`` answers are kept for ``seconds``, in each process for
+    itself; ``kept`` 0 keeps none.
+    """
+
+    def __init__(self, endpoint: str, threads: int = 8, timeout: float = 60, kept: int = 1024, seconds: float = 1200):
+        self.endpoint, self.threads, self.timeout, self.kept, self.seconds = endpoint, threads, timeout, kept, seconds
+        self._answers: OrderedDict[str, tuple[float, dict]] = OrderedDict()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_answers": OrderedDict()}
 
     def fetch(self, query: str) -> dict:
+        found = self._answers.get(query)
+        if found and time.monotonic() - found[0] < self.seconds:
+            return found[1]
+        answer = self._ask(query)
+        if self.kept:
+            self._answers[query] = (time.monotonic(), answer)
+            while len(self._answers) > self.kept:
+                self._answers.popitem(last=False)
+        return answer
+
+    def _ask(self, query: str) -> dict:
         with urlopen(Request(f"{self.endpoint}/query?{urlencode({'query': query})}", headers=HEADERS), timeout=self.timeout) as answer:
             return json.load(answer)
 
@@ -168,6 +189,3 @@ class RemoteGraph:
         kind = F.when(size == 0, "none").when(size == 1, "scalar").otherwise("tuple")
         return entities.select("pos", "entity").join(sets, "entity").select("pos", "entity", "chain_idx", kind.alias("kind"), F.transform("texts", literal_value).alias("values"))
 
-
-def values_of(response: dict) -> Iterator[str]:
-    return (b["o"]["value"] for b in response["results"]["bindings"])
