@@ -48,6 +48,11 @@ class Vocabulary:
         self.text_of = {rank: str(rank) for rank in self.bytes_of}
         self.lengths = sorted({len(t) for t in ranks}, reverse=True)
         self.longest = self.lengths[0] if self.lengths else 0
+        # The lengths, longest first, of the tokens that end in certain three bytes (or are shorter and end so).
+        self._endings: dict[bytes, set[int]] = {}
+        for token in ranks:
+            self._endings.setdefault(token[-3:], set()).add(len(token))
+        self._ordered: dict[bytes, list[int]] = {}
         self._spine: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
         self._whole: dict[int, bool] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -112,10 +117,18 @@ class Vocabulary:
             self._pairs[key] = known
         return known
 
+    def sizes(self, ending: bytes) -> list[int]:
+        """The possible sizes of a token at the end of what ends in these (up to three) bytes."""
+        found = self._ordered.get(ending)
+        if found is None:
+            shorter = {n for n in (1, 2) if ending[-n:] in self.ranks and n <= len(ending)}
+            found = self._ordered[ending] = sorted(self._endings.get(ending, set()) | shorter, reverse=True)
+        return found
+
     def last_token(self, data: bytes, end: int, last: Callable[[int], int]) -> int:
         """The unique valid last token of ``data[:end]``; ``last(i)`` has that of each shorter prefix."""
         ranks = self.ranks
-        for n in self.lengths:
+        for n in self.sizes(data[max(0, end - 3) : end]):
             if n > end:
                 continue
             token = ranks.get(data[end - n : end])
@@ -179,6 +192,7 @@ class Encoder:
         if len(data) > 48:
             return tuple(PrefixTable(self.vocabulary, data).tokens())
         table, v = self._last, self.vocabulary
+        ranks, compatible, sizes = v.ranks, v.compatible, v.sizes
         if len(table) > self.keep:
             table.clear()
         start = len(data)
@@ -186,11 +200,11 @@ class Encoder:
             start -= 1
         for end in range(start + 1, len(data) + 1):
             prefix = data[:end]
-            for n in v.lengths:
+            for n in sizes(prefix[-3:]):
                 if n > end:
                     continue
-                token = v.ranks.get(prefix[end - n :])
-                if token is not None and (v.compatible(table[prefix[: end - n]], token) if n < end else v.is_whole(token)):
+                token = ranks.get(prefix[end - n :])
+                if token is not None and (compatible(table[prefix[: end - n]], token) if n < end else v.is_whole(token)):
                     table[prefix] = token
                     break
             else:
