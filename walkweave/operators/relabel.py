@@ -70,14 +70,15 @@ def ngrams(walks: DataFrame, grams: int = 3, wildcards: Sequence[int] | None = N
     numbers mean equal n-grams everywhere.
     """
     rows = (wildcard_walks(walks, wildcards) if wildcards else walks).distinct()
-    numbered = rows.withColumn("__id", F.xxhash64("entity", "root_idx", "walk"))
-    key = F.transform("walk", lambda x, i: F.when((i > 0) & (i % 2 == 0) & (i >= grams), F.array_join(F.slice(F.col("walk"), i - grams + 2, F.lit(grams)), _GAP)))
     rest = [c for c in rows.columns if c != "walk"]
-    places = numbered.select(*rest, "walk", "__id", F.posexplode(key).alias("__i", "__key"))
-    ids = dense_ids(places.where("__key IS NOT NULL").select("__key").distinct(), ["__key"], "__number")
-    named = places.join(ids, "__key", "left").select(*rest, "walk", "__id", "__i", F.coalesce(F.col("__number").cast("string"), F.get("walk", F.col("__i"))).alias("__x"))
-    merged = named.groupBy(*rest, "walk", "__id").agg(F.array_sort(F.collect_list(F.struct("__i", "__x"))).alias("__w"))
-    return merged.select(*rest, F.transform("__w", lambda y: y["__x"]).alias("walk")).distinct()
+    key = F.expr(f"transform(filter(sequence(0, size(walk) - 1), i -> i > 0 AND i % 2 = 0 AND i >= {grams}), i -> named_struct('i', i, 'gram', array_join(slice(walk, i - {grams} + 2, {grams}), '{_GAP}')))")
+    # Only the places that get numbers are taken apart and put together again.
+    keyed = rows.withColumn("__k", key)
+    places = keyed.where(F.size("__k") > 0).select(*rest, "walk", F.explode("__k").alias("__k")).select(*rest, "walk", "__k.i", "__k.gram")
+    ids = dense_ids(places.select("gram").distinct(), ["gram"], "__number")
+    named = places.join(ids, "gram").groupBy(*rest, "walk").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("__number").cast("string")))).alias("__m"))
+    shown = named.withColumn("walk", F.transform("walk", lambda x, i: F.coalesce(F.try_element_at("__m", i), x))).select(*rows.columns)
+    return keyed.where(F.size("__k") == 0).select(*rows.columns).unionByName(shown).distinct()
 
 
 def split_words(walks: DataFrame, include_root: bool = True, reverse: bool = False) -> DataFrame:
@@ -116,9 +117,11 @@ def drop_rare_hops(walks: DataFrame, thresholds: Sequence[float] = (0.01,), most
     """
     rest = [c for c in walks.columns if c not in ("walk", "root_idx")]
     ahead = F.expr("transform(walk, (x, i) -> named_struct('i', i, 'x', x, 'p', CASE WHEN i < root_idx THEN get(walk, i - i % 2 + 1) WHEN i > root_idx THEN get(walk, i + i % 2 - 1) END))")
-    total = walks.count()
-    predicates = walks.select(F.explode(F.expr("array_distinct(filter(walk, (x, i) -> i % 2 = 1))")).alias("p"))
-    often = cut(predicates.groupBy("p").agg((F.count("p") / F.lit(total)).alias("share")))
+    # Each walk counts once for each of its predicates, and once under null for all.
+    counted = walks.select(F.explode(F.expr("concat(array(CAST(NULL AS STRING)), array_distinct(filter(walk, (x, i) -> i % 2 = 1)))")).alias("p"))
+    counts = cut(counted.groupBy("p").agg(F.count(F.lit(1)).alias("n")))
+    total = (counts.where("p IS NULL").first() or {"n": 1})["n"]
+    often = counts.where("p IS NOT NULL").select("p", (F.col("n") / F.lit(total)).alias("share"))
     levels = F.array(*[F.struct(F.lit(k).alias("threshold_idx"), F.lit(float(t)).alias("t")) for k, t in enumerate(thresholds)])
     few = often.orderBy("p").limit(most_in_map + 1).collect()
     if len(few) <= most_in_map:
