@@ -161,7 +161,7 @@ def test_walker_parameters(spark):
         with pytest.raises(ValueError):
             W.RandomWalker(**bad)
     assert W.RandomWalker(1, 0).extract(graph(spark, LOOP), roots(spark)).count() == 0
-    own = W.SplitWalker(1, func_split=lambda names: [short(names[-1]).lower()]).extract(graph(spark, LOOP), entity_frame(spark, full("Dean")))
+    own = W.SplitWalker(1, func_split=lambda names: [names[-1].rpartition("#")[2].lower()]).extract(graph(spark, LOOP), entity_frame(spark, full("Dean")))
     assert [list(r.walk) for r in own.collect()] == [["alice"]]
 
 
