@@ -28,8 +28,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+HEADER = re.compile(r"^|e[w-z0-9_-]|[CDI]")
+#: Where a key may begin: a sequence in base64 or hexadecimal, or OpenSSH's mark.
+START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{18})|30[0-8](?=[0-9A-Fa-f]{37})|b3BlbnNzaC1rZXktdjEA")
+BASE64_LINE, HEX_LINE = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+#: An end of line, or one written with backslashes.
+BREAK = re.compile(r"[ \t]*(?:[\r\n]|\\+[rn])(?:[ \t\r\n]|\\+[rn])*")
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt")
@@ -102,11 +107,11 @@ def is_private_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key: its mark, and length-prefixed fields to the end."""
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key that ``data`` begins with, by its mark and length-prefixed fields; None if there is none."""
     mark = b"openssh-key-v1\0"
     if not data.startswith(mark):
-        return False
+        return None
     at = len(mark)
 
     def field() -> bytes | None:
@@ -118,10 +123,16 @@ def is_ssh_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(field() for _ in range(keys)) and bool(field()) and not data[at:].strip(b"\0")
+    return at if 1 <= keys <= 16 and all(field() for _ in range(keys)) and field() else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether the bytes are an OpenSSH private key, to the end."""
+    size = ssh_size(data)
+    return size is not None and not data[size:].strip(b"\0")
 
 
 def is_signed_token(text: str) -> bool:
@@ -138,27 +149,84 @@ def is_signed_token(text: str) -> bool:
     return parsed[0]["alg"].lower() == "none" or len(from_base64(signature) or b"") >= 16
 
 
+def tokens(text: str) -> list[Span]:
+    """Spans of signed tokens: any three parts between dots, their header from any place of the first on."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts, at, end = m[0].split("."), m.start(), 0
+        for head, claims, signature in zip(parts, parts[1:], parts[2:]):
+            for s in HEADER.finditer(head) if at >= end else ():
+                token = f"{head[s.start() :]}.{claims}.{signature}"
+                if is_signed_token(token):
+                    end = at + s.start() + len(token)
+                    out.append(("jwt", at + s.start(), end))
+                    break
+            at += len(head) + 1
+    return out
+
+
+def _lines(text: str, at: int, line: re.Pattern, most: int | None) -> tuple[str, int]:
+    """Up to ``most`` characters of consecutive lines from ``at`` on, without the breaks, and the place behind them."""
+    got, size, end = [], 0, at
+    while (most is None or size < most) and (m := line.match(text, at)):
+        part = m[0] if most is None else m[0][: most - size]
+        got.append(part)
+        size += len(part)
+        at = end = m.start() + len(part)
+        if at < m.end() or not (m := BREAK.match(text, at)):
+            break
+        at = m.end()
+    return "".join(got), end
+
+
+def _sequence_size(data: bytes) -> int | None:
+    """Bytes of the sequence that ``data`` begins with, by its header."""
+    if data[1] < 0x80:
+        return 2 + data[1]
+    more = data[1] & 0x7F
+    return 2 + more + int.from_bytes(data[2 : 2 + more], "big") if 1 <= more <= 4 else None
+
+
+def key_at(text: str, at: int) -> Span | None:
+    """The private key that begins at this place, in one line or several."""
+    if text[at] == "b":
+        body, end = _lines(text, at, BASE64_LINE, None)
+        size = ssh_size(from_base64(body[: len(body) - (len(body) % 4 == 1)]) or b"")
+        if size is None:
+            return None
+        end = _lines(text, at, BASE64_LINE, -(-size * 4 // 3))[1]
+        return "ssh", at, end + len(re.compile("={0,2}").match(text, end)[0])
+    hexadecimal = text[at] == "3"
+    line, read = (HEX_LINE, bytes.fromhex) if hexadecimal else (BASE64_LINE, from_base64)
+    head, _ = _lines(text, at, line, 12)
+    size = _sequence_size(read(head)) if len(head) == 12 else None
+    if size is None or size > len(text):
+        return None
+    most = 2 * size if hexadecimal else -(-size * 4 // 3)
+    body, end = _lines(text, at, line, most)
+    if len(body) < most or not is_private_key(read(body) or b""):
+        return None
+    return "der", at, end if hexadecimal else end + len(re.compile("={0,2}").match(text, end)[0])
+
+
 def confirmed(text: str) -> list[Span]:
     """Spans of keys and tokens that decoding confirms."""
     out, armoured = [], []
     for m in PEM.finditer(text):
-        body = re.sub(r"^[A-Za-z-]+:.*$", "", m[2], flags=re.MULTILINE)
+        body = re.sub(r"\\+[rn]", "\n", m[2]).replace("\\/", "/")
+        body = re.sub(r"^[A-Za-z-]+:.*$", "", body, flags=re.MULTILINE)
         data = from_base64(re.sub(r"\s+", "", body))
         if data and ("ENCRYPTED" in m[2] or is_private_key(data) or is_ssh_key(data)):
             out.append(("pem", m.start(), m.end()))
             armoured.append((m.start(), m.end()))
-    if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    for m in RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in armoured):
+    out += tokens(text)
+    end = 0
+    for m in START.finditer(text):
+        if m.start() < end or any(a <= m.start() < b for a, b in armoured):
             continue
-        readings = [from_base64(m[0])]
-        if len(m[0]) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", m[0]):
-            readings.append(bytes.fromhex(m[0]))
-        if any(x and is_private_key(x) for x in readings):
-            out.append(("der", m.start(), m.end()))
-        elif any(x and is_ssh_key(x) for x in readings):
-            out.append(("ssh", m.start(), m.end()))
+        if found := key_at(text, m.start()):
+            out.append(found)
+            end = found[2]
     return out
 
 
