@@ -202,9 +202,15 @@ def affected_shards(placed: DataFrame) -> DataFrame:
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """Writes the files of affected shards, rows by slot, below ``path``; ids must be unique.
 
-    Files of other shards stay as they are.
+    Files of other shards stay as they are; those of affected shards that get no
+    rows go once the others are written.
     """
+    emptied = [r.shard for r in affected_shards(placed).join(placed.select("shard").distinct(), "shard", "left_anti").collect()]
     place = placed.join(F.broadcast(affected_shards(placed)), "shard").select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     rows = docs.join(place, F.col(f"`{id_col}`") == F.col("__id")).drop("__id")
     rows = rows.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
     rows.withColumnsRenamed({"__shard": "shard", "__slot": "slot"}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    folder = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(docs.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    for shard in emptied:
+        store.delete(folder.suffix(f"/shard={shard}"), True)
