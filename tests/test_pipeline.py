@@ -1,14 +1,17 @@
+import random
+
 import numpy as np
 import pytest
 from graphs import CHAIN, LOOP, PREFIX, ROOTS, full, graph, roots
 
 from walkweave.graph import entity_frame
-from walkweave.operators.community import communities, louvain, modularity, spread_labels
+from walkweave.operators.community import communities, modularity
 from walkweave.operators.ids import dense_ids
 from walkweave.operators.literals import features, literals
 from walkweave.plans.embedders import FastText, Word2Vec
 from walkweave.plans.pipeline import WalkEmbedding, upsert
-from walkweave.plans.walkers import AnonymousWalker, RandomWalker, WalkletWalker
+from walkweave.operators.samplers import ObjFreqSampler
+from walkweave.plans.walkers import AnonymousWalker, NGramWalker, RandomWalker, SplitWalker, WalkletWalker
 from walkweave.streaming.upsert import current, follow
 
 
@@ -53,6 +56,28 @@ def test_update_save_and_load(spark, tmp_path):
         WalkEmbedding.load(spark, str(tmp_path / "none"))
 
 
+def test_saving_where_it_was_loaded(spark, tmp_path):
+    kg, path = graph(spark, CHAIN), str(tmp_path / "m")
+    walkers = [NGramWalker(2, None, ObjFreqSampler(inverse=True), grams=2, wildcards=[1]), SplitWalker(1, func_split=sorted)]
+    made = WalkEmbedding(FastText(vector_size=4, epochs=1, seed=1), [RandomWalker(1, 2, with_reverse=True), *walkers])
+    first = vectors(made.fit_transform(kg, roots(spark))[0])
+    made.save(path)
+    again = WalkEmbedding.load(spark, path)
+    assert vectors(again.embedder.transform(roots(spark))) == first
+    assert [type(w) for w in again.walkers] == [type(w) for w in made.walkers] and again.walkers[0].with_reverse
+    assert again.walkers[1].sampler.inverse and again.walkers[1].wildcards == [1] and again.walkers[2].func_split is sorted
+    again.fit_transform(kg, entity_frame(spark, full("Emma", "Alice")), is_update=True)
+    again.save(path)
+    assert again.embeddings.count() == 4  # what it holds reads the new version
+    third = WalkEmbedding.load(spark, path)
+    assert third.embeddings.count() == 4 and sorted(map(str, third.walk_store.collect())) == sorted(map(str, again.walk_store.collect()))
+    assert [p.name for p in (tmp_path / "m").iterdir()] == ["v000002"]
+    third.walkers.append(SplitWalker(1, func_split=lambda names: names))
+    with pytest.raises(ValueError):
+        third.save(path)  # no module has that function by a name
+    assert WalkEmbedding.load(spark, path).embeddings.count() == 4
+
+
 def test_fasttext(spark):
     kg = graph(spark, LOOP)
     walks = AnonymousWalker(2).extract(kg, roots(spark))
@@ -103,9 +128,21 @@ def test_communities(spark):
     of = {r.v: r.community for r in found.collect()}
     assert len({of[f"a{i}"] for i in range(6)}) == len({of[f"b{i}"] for i in range(5)}) == 1 and of["a1"] != of["b1"]
     assert modularity(kg, found) > 0.4
-    spread = communities(kg, most_links=1)
-    assert spread.count() == found.count() and spread_labels is not None
-    assert louvain(3, np.array([], int), np.array([], int)).tolist() == [0, 1, 2]
+    alone = communities(graph(spark, []).add_vertices(spark.createDataFrame([("x",), ("y",)], "v string")))
+    assert len({r.community for r in alone.collect()}) == 2
+
+
+@pytest.mark.parametrize("resolution", [1.0, 4.0])
+def test_communities_of_a_planted_graph(spark, resolution):
+    rng = random.Random(1)
+    of = {f"n{i}": i % 8 for i in range(160)}
+    names = sorted(of)
+    rows = [(a, "p", b) for i, a in enumerate(names) for b in names[:i] if rng.random() < (0.5 if of[a] == of[b] else 0.01)]
+    kg = graph(spark, rows)
+    planted = spark.createDataFrame([(v, str(c)) for v, c in of.items()], "v string, community string")
+    found = communities(kg, resolution)
+    assert found.count() == 160
+    assert modularity(kg, found, resolution) > 0.95 * modularity(kg, planted, resolution)
 
 
 def test_dense_ids(spark):

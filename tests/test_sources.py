@@ -183,3 +183,17 @@ def test_answers_are_kept(endpoint):
     pickle.loads(pickle.dumps(connector)).fetch(query)
     sparql.SPARQLConnector(endpoint, kept=0).fetch(query)
     assert len(Endpoint.asked) == 5
+
+
+def test_long_literals(spark, tmp_path):
+    text = 'long \\"text\\" ' * 80_000
+    (tmp_path / "long.nt").write_text(f'<http://x.org/a> <http://x.org/p> "{text}"@en .\n<http://x.org/a> <http://x.org/p> "{"x" * 1_000_000}" .\n')
+    got = sorted(r.o for r in ntriples.read(spark, str(tmp_path / "long.nt")).collect())
+    assert got == sorted([text.replace('\\"', '"'), "x" * 1_000_000])
+
+
+def test_entities_are_counted(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.tsv").write_text("name\tlabel\n" + "".join(f"e{k}_{i}\t{i}\n" for i in range(40)))
+    got = files.read_entities(spark, str(tmp_path), "name").collect()
+    assert sorted(r.pos for r in got) == list(range(120)) and {"pos", "entity", "label"} == set(got[0].asDict())

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import pytest
 from graphs import CHAIN, LOOP, PREFIX, ROOTS, brute_walks, full, graph, roots, short
 
@@ -93,6 +95,9 @@ def test_ngrams_and_wildcards(spark):
     assert got["a"][:4] == ["a", "p", "b", "q"] and got["a"][4] == got["x"][4] == "0"
     wild = relabel.wildcard_walks(walks, [1, 2]).where("entity = 'a'").collect()
     assert len(wild) == 1 + 4 + 6 and all(r.walk[0] == "a" for r in wild)
+    long = spark.createDataFrame([("n0", 0, [f"n{i}" for i in range(61)])], "entity string, root_idx int, walk array<string>")
+    assert {tuple(i for i, x in enumerate(r.walk) if x == "*") for r in relabel.wildcard_walks(long, [2]).collect()} == {(), *combinations(range(1, 61), 2)}
+    assert relabel.wildcard_walks(walks, [5]).count() == 2
 
 
 def test_split_words(spark):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkweave.graph import KnowledgeGraph
 from walkweave.spark import cut
 
+#: Lineage is cut after so many rounds; in between the ranks are kept in memory, and made again where they are lost.
+CUT_EVERY = 5
+
 
 def pagerank(kg: KnowledgeGraph, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, fixed: bool = False) -> DataFrame:
     """``v, rank`` of every vertex; ranks sum to 1.
@@ -15,23 +19,35 @@ def pagerank(kg: KnowledgeGraph, alpha: float = 0.85, tolerance: float = 1e-6, r
     Parallel predicates count once; the rank of vertices without a way on goes
     to all alike.  It stops when the ranks move by less than vertices x
     ``tolerance`` in sum (or, ``fixed``, after ``rounds`` rounds), and fails if
-    they have not settled by then.  Two numbers a round come to the driver.
+    they have not settled by then.  A round is one job: ways and ranks are dealt
+    alike, only what flows is dealt anew, and two sums (the rank of vertices
+    without a way on, and the movement) come to the driver together.
     """
     edges = kg.triples.select("s", "o").distinct()
-    out = edges.groupBy("s").agg(F.count("o").alias("out"))
-    nodes = cut(kg.vertices().join(out, F.col("v") == F.col("s"), "left").select("v", "out"))
-    ways = cut(edges.join(out, "s").select("s", "o", "out").repartition("s"))
-    n = nodes.count()
+    parts = int(kg.triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ways = cut(edges.repartition(parts, "s"))
+    out = ways.groupBy("s").agg(F.count("o").alias("out"))
+    vertices = kg.vertices().repartition(parts, "v")
+    nodes = cut(vertices.join(out, F.col("v") == F.col("s"), "left").select("v", "out"))
+    n, idle = nodes.agg(F.count("v"), F.count_if(F.col("out").isNull())).first()
     if not n:
         return nodes.select("v", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("v", "out", F.lit(1.0 / n).alias("rank"))
-    for _ in range(rounds):
-        loose = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        flow = ways.join(ranks.select("v", "rank"), F.col("s") == F.col("v")).groupBy("o").agg(F.sum(F.col("rank") / F.col("out")).alias("came"))
+    ranks, loose, kept = nodes.select("v", "out", F.lit(1.0 / n).alias("rank")), idle / n, None
+    for k in range(rounds):
+        share = ranks.where("out IS NOT NULL").select("v", (F.col("rank") / F.col("out")).alias("share"))
+        flow = ways.join(share, F.col("s") == F.col("v")).groupBy("o").agg(F.sum("share").alias("came"))
         new = alpha * (F.coalesce("came", F.lit(0.0)) + F.lit(loose / n)) + (1 - alpha) / n
-        moved = cut(ranks.join(flow, F.col("v") == F.col("o"), "left").select("v", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
-        ranks = moved.select("v", "out", "rank")
-        if not fixed and moved.agg(F.sum("moved")).first()[0] < n * tolerance:
+        moved = ranks.join(flow, F.col("v") == F.col("o"), "left").select("v", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+        last = fixed and k == rounds - 1
+        moved = cut(moved) if last or (k + 1) % CUT_EVERY == 0 else moved.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+        sums = None if last else moved.agg(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.sum("moved")).first()
+        if kept is not None:
+            kept.unpersist()
+        kept, ranks = moved, moved.select("v", "out", "rank")
+        if last:
+            break
+        loose = sums[0] or 0.0
+        if not fixed and sums[1] < n * tolerance:
             break
     else:
         if not fixed:

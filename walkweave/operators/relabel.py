@@ -44,19 +44,21 @@ def walklets(walks: DataFrame, reverse: bool = False, skip_first: bool = False)
     return walks.select(*rest, F.explode(made).alias("__pair")).select(*rest, root.cast("int").alias("root_idx"), F.col("__pair").alias("walk")).distinct()
 
 
-def wildcard_walks(walks: DataFrame, wildcards: Sequence[int], longest: int = 20) -> DataFrame:
+def wildcard_walks(walks: DataFrame, wildcards: Sequence[int]) -> DataFrame:
     """The walks, and for each k all their variants with k places after the first replaced by ``*``.
 
-    The variants of a walk of n places number (n - 1 choose k); walks of more
-    than ``longest`` places are refused.
+    The variants of a walk of n places number (n - 1 choose k).  Their places
+    are chosen one after another, each behind the last, so that nothing but
+    these variants is made, whatever the walk's length.
     """
     out = walks
     for k in sorted(set(wildcards)):
-        masks = F.expr(f"filter(sequence(0L, shiftleft(1L, least(size(walk) - 1, {longest})) - 1L), m -> bit_count(m) = {k})")
-        rows = walks.where(F.assert_true(F.size("walk") <= longest, F.lit(f"wildcards need walks of at most {longest} places")).isNull())
-        rows = rows.where(F.size("walk") > k).withColumn("__mask", F.explode(masks))
-        starred = F.expr("transform(walk, (x, i) -> IF(i > 0 AND shiftright(__mask, i - 1) & 1L = 1L, '*', x))")
-        out = out.unionByName(rows.withColumn("walk", starred).drop("__mask"))
+        rows = walks.where(F.size("walk") > k).withColumn("__at", F.array().cast("array<int>")).withColumn("__last", F.lit(0))
+        for left in range(k, 0, -1):
+            rows = rows.withColumn("__last", F.explode(F.sequence(F.col("__last") + 1, F.size("walk") - left)))
+            rows = rows.withColumn("__at", F.array_append("__at", F.col("__last")))
+        starred = F.transform("walk", lambda x, i: F.when(F.array_contains("__at", i), "*").otherwise(x))
+        out = out.unionByName(rows.withColumn("walk", starred).drop("__at", "__last"))
     return out
 
 
@@ -69,16 +71,18 @@ def ngrams(walks: DataFrame, grams: int = 3, wildcards: Sequence[int] | None = N
     Numbers are those of the sorted distinct n-grams of all walks, so that equal
     numbers mean equal n-grams everywhere.
     """
-    rows = (wildcard_walks(walks, wildcards) if wildcards else walks).distinct()
-    rest = [c for c in rows.columns if c != "walk"]
+    found = (wildcard_walks(walks, wildcards) if wildcards else walks).distinct()
+    rows = cut(found).withColumn("__id", F.monotonically_increasing_id())  # of stored rows, so it stays the same
     key = F.expr(f"transform(filter(sequence(0, size(walk) - 1), i -> i > 0 AND i % 2 = 0 AND i >= {grams}), i -> named_struct('i', i, 'gram', array_join(slice(walk, i - {grams} + 2, {grams}), '{_GAP}')))")
-    # Only the places that get numbers are taken apart and put together again.
+    # Only the places that get numbers leave their walks, under the walk's number; a number stands for a gram that
+    # ends with the name it replaces, so distinct walks stay distinct.
     keyed = rows.withColumn("__k", key)
-    places = keyed.where(F.size("__k") > 0).select(*rest, "walk", F.explode("__k").alias("__k")).select(*rest, "walk", "__k.i", "__k.gram")
+    places = keyed.select("__id", F.explode("__k").alias("__k")).select("__id", "__k.i", "__k.gram")
     ids = dense_ids(places.select("gram").distinct(), ["gram"], "__number")
-    named = places.join(ids, "gram").groupBy(*rest, "walk").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("__number").cast("string")))).alias("__m"))
-    shown = named.withColumn("walk", F.transform("walk", lambda x, i: F.coalesce(F.try_element_at("__m", i), x))).select(*rows.columns)
-    return keyed.where(F.size("__k") == 0).select(*rows.columns).unionByName(shown).distinct()
+    named = places.join(ids, "gram").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("__number").cast("string")))).alias("__m"))
+    shown = F.transform("walk", lambda x, i: F.coalesce(F.try_element_at("__m", i), x))
+    changed = keyed.where(F.size("__k") > 0).join(named, "__id").withColumn("walk", shown).select(*found.columns)
+    return keyed.where(F.size("__k") == 0).select(*found.columns).unionByName(changed)
 
 
 def split_words(walks: DataFrame, include_root: bool = True, reverse: bool = False) -> DataFrame:
@@ -116,6 +120,7 @@ def drop_rare_hops(walks: DataFrame, thresholds: Sequence[float] = (0.01,), most
     its root.  Adds ``threshold_idx``.
     """
     rest = [c for c in walks.columns if c not in ("walk", "root_idx")]
+    walks = cut(walks)  # they are read twice
     ahead = F.expr("transform(walk, (x, i) -> named_struct('i', i, 'x', x, 'p', CASE WHEN i < root_idx THEN get(walk, i - i % 2 + 1) WHEN i > root_idx THEN get(walk, i + i % 2 - 1) END))")
     # Each walk counts once for each of its predicates, and once under null for all.
     counted = walks.select(F.explode(F.expr("concat(array(CAST(NULL AS STRING)), array_distinct(filter(walk, (x, i) -> i % 2 = 1)))")).alias("p"))
@@ -137,5 +142,5 @@ def drop_rare_hops(walks: DataFrame, thresholds: Sequence[float] = (0.01,), most
     new_root = F.size(F.filter("w", lambda y: y["i"] < F.col("root_idx")))
     shorter = merged.select(*rest, "threshold_idx", new_root.alias("root_idx"), F.transform("w", lambda y: y["x"]).alias("walk"))
     long = shorter.where(F.size("walk") >= 3)
-    alone = shorter.select(*rest, "threshold_idx").distinct().join(long.select(*rest, "threshold_idx").distinct(), [*rest, "threshold_idx"], "left_anti")
+    alone = shorter.groupBy(*rest, "threshold_idx").agg(F.max(F.size("walk")).alias("__longest")).where("__longest < 3")
     return long.unionByName(alone.select(*rest, "threshold_idx", F.lit(0).alias("root_idx"), F.array("entity").alias("walk")))

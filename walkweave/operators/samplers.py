@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from walkweave.described import Described
 from walkweave.graph import KnowledgeGraph
 from walkweave.spark import cut
 
@@ -16,7 +17,7 @@ class SamplerNotSupported(ValueError):
     """The sampler needs the whole graph, and the graph is remote."""
 
 
-class Sampler:
+class Sampler(Described):
     """Base of samplers: :meth:`fit` counts on a graph, :meth:`weigh` adds ``w`` to hops ``v, p, n``.
 
     ``inverse`` turns weights around (the largest becomes the smallest);

@@ -26,7 +26,7 @@ def walks(roots: str, depth: int, reverse: bool = False, name: str = "w", hops:
     parts = [f"{name}0 AS (SELECT entity, [entity] AS walk, entity AS tail FROM ({roots}))"]
     for k in range(depth):
         grown = "list_concat([n, p], walk)" if reverse else "list_concat(walk, [p, n])"
-        parts.append(f"{name}{k + 1} AS (SELECT entity, CASE WHEN n IS NULL THEN walk ELSE {grown} END AS walk, n AS tail FROM {name}{k} LEFT JOIN {hops} h ON h.v = tail)")
+        parts.append(f"{name}{k + 1} AS (SELECT entity, CASE WHEN n IS NULL THEN walk ELSE {grown} END AS walk, n AS tail FROM {name}{k} LEFT JOIN {hops} h ON h.v = tail)".replace(" AS (", " AS MATERIALIZED (", 1))
     return ", ".join(parts)
 
 
@@ -41,6 +41,16 @@ def _token(x: str) -> str:
     return f"left(md5({x}), 16)"
 
 
+def _bytes_token(x: str) -> str:
+    """The first 8 bytes of the MD5 as Python shows them."""
+    pair = f"substr(md5({x}), 2 * i + 1, 2)"
+    code = f"CAST('0x' || {pair} AS INTEGER)"
+    shown = f"CASE {pair} WHEN '09' THEN '\\t' WHEN '0a' THEN '\\n' WHEN '0d' THEN '\\r' WHEN '5c' THEN '\\\\' ELSE CASE WHEN {code} BETWEEN 32 AND 126 THEN chr({code}) ELSE '\\x' || {pair} END END"
+    text = f"list_aggregate(list_transform(range(0, 8), lambda i: {shown}), 'string_agg', '')"
+    pairs = f"list_transform(range(0, 8), lambda i: {pair})"
+    return f"CASE WHEN list_contains({pairs}, '27') AND NOT list_contains({pairs}, '22') THEN 'b' || chr(34) || {text} || chr(34) ELSE 'b' || chr(39) || replace({text}, chr(39), chr(92) || chr(39)) || chr(39) END"
+
+
 def _halk(thresholds: tuple[float, ...]) -> str:
     levels = ", ".join(f"({k}, {t})" for k, t in enumerate(thresholds))
     return f"""
@@ -99,6 +109,25 @@ def _shares(inverse: bool, split: bool) -> str:
 
 #: The number that a generator seeded with 42 gives first.
 FIXED_42 = 0.3745401188473625
+
+
+def _draws(depth: int, walks_each: int, seed: int) -> str:
+    """Walks ``w0`` ... of hops drawn by the MD5 of seed, root, walk and level, among shares by the inverse frequency of objects."""
+    parts = [
+        T,
+        FORWARD,
+        "f AS MATERIALIZED (SELECT o, CAST(count(*) AS DOUBLE) AS w FROM t GROUP BY o)",
+        "a AS (SELECT h.v, h.p, h.n, max(w) OVER (PARTITION BY v) - (w - min(w) OVER (PARTITION BY v)) AS w FROM h JOIN f ON h.n = f.o)",
+        "b AS (SELECT v, p, n, CASE WHEN sum(w) OVER (PARTITION BY v) > 0 THEN w / sum(w) OVER (PARTITION BY v) ELSE 1.0 / count(*) OVER (PARTITION BY v) END AS prob FROM a)",
+        "c AS MATERIALIZED (SELECT v, p, n, hi - prob AS lo, CASE WHEN row_number() OVER (PARTITION BY v ORDER BY p DESC, n DESC) = 1 THEN 2.0 ELSE hi END AS hi FROM (SELECT *, sum(prob) OVER (PARTITION BY v ORDER BY p, n ROWS UNBOUNDED PRECEDING) AS hi FROM b))",
+        f"w0 AS (SELECT entity, number, [entity] AS walk, entity AS tail FROM ({ORDERS}), (SELECT unnest(range(0, {walks_each})) AS number))",
+    ]
+    for k in range(depth):
+        u = f"CAST('0x' || left(md5('{seed}' || chr(9) || entity || chr(9) || CAST(number AS VARCHAR) || chr(9) || '{k}'), 13) AS BIGINT) / 4503599627370496.0"
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT entity, number, CASE WHEN n IS NULL THEN walk ELSE list_concat(walk, [p, n]) END AS walk, n AS tail FROM (SELECT *, {u} AS u FROM w{k}) LEFT JOIN c ON c.v = tail AND c.lo <= u AND u < c.hi)")
+    return f"WITH {', '.join(parts)} SELECT DISTINCT entity, array_to_string(walk, ' > ') AS walk FROM w{depth}"
+
+
 _PICKS = f"{_chances(True, False)}, g AS MATERIALIZED (SELECT v, p, n FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY p, n) AS k FROM (SELECT *, sum(prob) OVER (PARTITION BY v ORDER BY p, n ROWS UNBOUNDED PRECEDING) AS cum FROM c) WHERE cum > {FIXED_42} QUALIFY k = 1))"
 
 
@@ -184,6 +213,13 @@ ORACLE_SQL: dict[str, str] = {
     "weights_inverse": _shares(True, False),
     "weights_split": _shares(False, True),
     "weights_inverse_split": _shares(True, True),
+    "ntriples_roundtrip": f"WITH {T} SELECT s, p, o FROM t",
+    "add_vertices": f"WITH {T}, {V}, r AS ({CUSTOMERS}) SELECT v FROM vs UNION SELECT entity FROM r UNION SELECT entity || 'x' FROM r",
+    "add_edges": f"WITH {TB} SELECT s, p, o FROM t WHERE p NOT IN ('has_priority', 'contains')",
+    "entity_gate": "SELECT 'customer:' || CAST(c_custkey AS VARCHAR) || 'x' AS entity FROM customer WHERE c_custkey % 5 = 0",
+    "tokens_bytes": f"WITH {T}, {V}, r AS ({NATIONS}) SELECT v, CASE WHEN v IN (SELECT entity FROM r) THEN v ELSE {_bytes_token('v')} END AS label FROM vs",
+    "random_walk_bytes": f"WITH {T}, {FORWARD}, {walks(CUSTOMERS, 2)} SELECT DISTINCT entity, array_to_string(list_transform(walk, lambda y, j: CASE WHEN j % 2 = 0 OR y LIKE 'customer:%' THEN y ELSE {_bytes_token('y')} END), ' > ') AS walk FROM w2",
+    "dfs_hashed": _draws(3, 4, 7),
     "dfs_fixed_u": f"WITH {_PICKS}, {walks(ORDERS, 2, hops='g')} SELECT entity, array_to_string(walk, ' > ') AS walk FROM w2",
     "literals_chain1": _literals(CUSTOMERS, [["has_balance"], ["in_segment"], ["has_brand"]]),
     "literals_chain2": _literals(ORDERS, [["placed_by", "has_balance"], ["contains", "has_brand"]]),

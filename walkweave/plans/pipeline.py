@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkweave.spark import cut
+from walkweave.described import describe, rebuild
+from walkweave.spark import cut, folders, remove
 
 from .embedders import Embedder, Word2Vec
 from .walkers import RandomWalker, Walker
@@ -85,29 +86,49 @@ class WalkEmbedding:
     PARTS = ("entities", "walk_store", "embeddings", "literals")
 
     def save(self, path: str) -> None:
-        """A folder of Parquet tables and a list of those there are."""
+        """A new version below the folder: Parquet tables, what the embedder has learned, and all parameters as JSON.
+
+        A version counts once its list of contents is written, which comes last;
+        only then do older versions go.  So a pipeline can be saved where it was
+        loaded from, and a failed attempt leaves what was there.
+        """
         spark = (self.walk_store or self.entities).sparkSession
+        about = json.dumps({"kind": type(self).__name__, "verbose": self.verbose, "embedder": describe(self.embedder), "walkers": [describe(w) for w in self.walkers], "parts": [n for n in self.PARTS if getattr(self, n) is not None]})
+        old = _versions(spark, path)
+        to = f"{path}/v{max([*old, 0]) + 1:06}"
+        remove(spark, to)
         for name in self.PARTS:
             if getattr(self, name) is not None:
-                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        about = json.dumps({"kind": type(self).__name__, "parts": [n for n in self.PARTS if getattr(self, n) is not None]})
-        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+                getattr(self, name).write.parquet(f"{to}/{name}")
+        self.embedder.save_state(f"{to}/embedder")
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{to}/about")
+        self._read(spark, to, json.loads(about)["parts"])
+        for number in old:
+            remove(spark, f"{path}/v{number:06}")
+
+    def _read(self, spark: SparkSession, folder: str, parts: list[str]) -> None:
+        for name in parts:
+            setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
+        self.embedder.load_state(spark, f"{folder}/embedder", self.walk_store)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, embedder: Embedder | None = None, walkers: Sequence[Walker] | None = None) -> WalkEmbedding:
-        """The pipeline saved at a path; ValueError if what is there is something else.
+        """The pipeline saved at a path, ready to go on; ValueError if what is there is something else.
 
-        Word2Vec goes on from the stored walks.
+        Embedder and walkers are made anew from their parameters unless others are given.
         """
         try:
-            about = json.loads(spark.read.text(f"{path}/about").first()[0])
+            folder = f"{path}/v{max(_versions(spark, path)):06}"
+            about = json.loads(spark.read.text(f"{folder}/about").first()[0])
             if about["kind"] != cls.__name__:
                 raise ValueError(about["kind"])
         except Exception as error:
             raise ValueError(f"{path} holds no saved pipeline") from error
-        made = cls(embedder, walkers)
-        for name in about["parts"]:
-            setattr(made, name, spark.read.parquet(f"{path}/{name}"))
-        if isinstance(made.embedder, Word2Vec) and made.walk_store is not None:
-            made.embedder._walks = made.walk_store.select("walk")
+        made = cls(embedder or rebuild(about["embedder"], Embedder), walkers or [rebuild(w, Walker) for w in about["walkers"]], about["verbose"])
+        made._read(spark, folder, about["parts"])
         return made
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete versions below a folder."""
+    return [int(n[1:]) for n in folders(spark, path) if n[0] == "v" and n[1:].isdigit() and "_SUCCESS" in folders(spark, f"{path}/{n}/about")]

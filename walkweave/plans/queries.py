@@ -6,6 +6,7 @@ numbers are rounded.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,7 +22,9 @@ from walkweave.operators.sampled import exact_walks, sample_walks
 from walkweave.operators.samplers import ObjFreqSampler, ObjPredFreqSampler, PageRankSampler, PredFreqSampler, Sampler, UniformSampler, WideSampler
 from walkweave.operators.walks import both_ways, expand, labelled, with_root
 from walkweave.operators.wl import wl_labels
+from walkweave.sources import ntriples
 from walkweave.sources.relational import BALANCE, EDGES, roots, star_graph
+from walkweave.spark import shared_folder
 
 from .embedders import FastText, Word2Vec
 from .pipeline import upsert
@@ -55,6 +58,40 @@ def skip_predicates(spark, sf_dir):
     return star_graph(spark, sf_dir, skip_predicates=SKIPPED).triples
 
 
+def ntriples_roundtrip(spark, sf_dir):
+    """The graph written as N-Triples and read again."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    ntriples.write(star_graph(spark, sf_dir).triples, path)
+    return KnowledgeGraph(ntriples.read(spark, path)).triples
+
+
+def add_vertices(spark, sf_dir):
+    """Isolated vertices beside those of the graph, some of which are there already."""
+    more = customers(spark, sf_dir).select(F.explode(F.array("entity", F.concat("entity", F.lit("x")))).alias("v"))
+    return star_graph(spark, sf_dir).add_vertices(more).vertices()
+
+
+def add_edges(spark, sf_dir):
+    """More triples, partly known ones, into a graph without some predicates."""
+    kg = star_graph(spark, sf_dir, skip_predicates=SKIPPED)
+    return kg.add(star_graph(spark, sf_dir, edges=[*EDGES[:3], BALANCE]).triples).triples
+
+
+def entity_gate(spark, sf_dir):
+    """Which of the asked entities the graph lacks: those that a fit refuses."""
+    asked = customers(spark, sf_dir).select(F.concat("entity", F.when(F.col("pos") % 5 == 0, "x").otherwise("")).alias("entity"))
+    return star_graph(spark, sf_dir).exists(asked).where("NOT exists").select("entity")
+
+
+def tokens_bytes(spark, sf_dir):
+    """The default tokens of random walks, as Python shows bytes."""
+    return relabel.token_labels(star_graph(spark, sf_dir).vertices(), nations(spark, sf_dir))
+
+
+def random_walk_bytes(spark, sf_dir):
+    return _joined(RandomWalker(2).extract(star_graph(spark, sf_dir), customers(spark, sf_dir)))
+
+
 def remove_triples(spark, sf_dir):
     kg = star_graph(spark, sf_dir)
     return kg.remove(kg.triples.where("p = 'placed_by' AND o RLIKE '[02468]$'")).triples
@@ -218,8 +255,8 @@ def w2v_vectors(spark, sf_dir):
 
 
 def fasttext_vectors(spark, sf_dir):
-    kg, who = star_graph(spark, sf_dir), nations(spark, sf_dir)
-    return FastText(vector_size=8, epochs=2, seed=42).fit(RandomWalker(2).extract(kg, who)).transform(who)
+    kg, who = star_graph(spark, sf_dir), customers(spark, sf_dir)
+    return FastText(vector_size=8, epochs=2, seed=42, partitions=8).fit(RandomWalker(2).extract(kg, who)).transform(who)
 
 
 def community_walks(spark, sf_dir):
@@ -230,6 +267,12 @@ QUERIES: dict[str, Query] = {
     "triples_load": triples_load,
     "skip_predicates": skip_predicates,
     "remove_triples": remove_triples,
+    "ntriples_roundtrip": ntriples_roundtrip,
+    "add_vertices": add_vertices,
+    "add_edges": add_edges,
+    "entity_gate": entity_gate,
+    "tokens_bytes": tokens_bytes,
+    "random_walk_bytes": random_walk_bytes,
     "hops_fwd": hops_fwd,
     "hops_rev": hops_rev,
     "vertices": vertices,

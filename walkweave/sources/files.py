@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walkweave.graph import KnowledgeGraph
+from walkweave.operators.ids import dense_ids
 
 from . import ntriples, rdf
 
@@ -30,6 +31,7 @@ def load_graph(spark: SparkSession, location: str, kind: str | None = None, skip
 
 
 def read_entities(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """``pos, entity`` and the other columns of a tab-separated table with a header, in its order."""
+    """``pos, entity`` and the other columns of a tab-separated table with a header; ``pos`` counts its rows from 0."""
     rows = spark.read.option("sep", "\t").option("header", True).csv(path)
-    return rows.withColumn("pos", F.monotonically_increasing_id()).withColumnRenamed(column, "entity")
+    ordered = rows.withColumn("__place", F.monotonically_increasing_id())
+    return dense_ids(ordered, ["__place"], "pos").drop("__place").withColumnRenamed(column, "entity")

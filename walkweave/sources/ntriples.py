@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SUBJECT = r"(?:<([^>]*)>|(_:[^\s]+))"
-_OBJECT = r'(?:<([^>]*)>|(_:[^\s]+)|"((?:[^"\\]|\\.)*)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
+#: Possessive, so that Java's matcher needs no stack for the characters of a long literal.
+_OBJECT = r'(?:<([^>]*)>|(_:[^\s]+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
 _GRAPH = r"(?:\s+(?:<[^>]*>|_:[^\s]+))?"
 LINE = rf"^\s*{_SUBJECT}\s+<([^>]*)>\s+{_OBJECT}{_GRAPH}\s*\.\s*(?:#.*)?$"
 

@@ -131,14 +131,18 @@ class RemoteGraph:
     Walkers get :meth:`around`: the local graph of what a number of hops from
     some entities reaches, fetched a level at a time, each vertex once.
     Existence and literals are asked for directly.
+
+    ``connector`` may be any object with ``fetch_all`` (questions to parsed
+    answers) that can be pickled; without one, a :class:`SPARQLConnector` with
+    ``threads`` and the cache's ``kept`` and ``seconds`` is made.
     """
 
     is_remote = True
 
-    def __init__(self, spark: SparkSession, endpoint: str, skip_predicates=(), literals: Sequence[Sequence[str]] = (), skip_verify: bool = False, threads: int = 8):
-        if not skip_verify:
+    def __init__(self, spark: SparkSession, endpoint: str, skip_predicates=(), literals: Sequence[Sequence[str]] = (), skip_verify: bool = False, threads: int = 8, connector=None, kept: int = 1024, seconds: float = 1200):
+        if not skip_verify and connector is None:
             check_location(endpoint)
-        self.spark, self.connector = spark, SPARQLConnector(endpoint, threads)
+        self.spark, self.connector = spark, connector or SPARQLConnector(endpoint, threads, kept=kept, seconds=seconds)
         self.skip_predicates, self.literals = frozenset(skip_predicates), [list(c) for c in literals]
 
     def around(self, entities: DataFrame, depth: int, reverse: bool = False) -> KnowledgeGraph:

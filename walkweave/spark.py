@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; where none is set, as in tests, one below the warehouse."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -11,8 +19,23 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one that the cluster shares (``spark.checkpoint.dir``);
     only where none is set, as in tests, one below the warehouse is taken.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and the file system that it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds; none where there is no such folder."""
+    place, store = _place(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(place)) if store.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder and what is in it, if it is there."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
