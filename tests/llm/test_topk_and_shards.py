@@ -43,12 +43,34 @@ def test_search(spark, shard, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_large_components_stay_exact(spark):
-    rows = [(i, [float(2**40 + i), -float(i)]) for i in range(0, 300, 3)]
+BIG = {
+    "sums beyond doubles": [(i, [float(2**29 + i * i), -float(i), 0.5]) for i in range(0, 300, 3)],
+    "sums beyond 64 bits": [(i, [float(2**40 + i), -float(i)]) for i in range(0, 300, 3)],
+    "components beyond 64 bits": [(i, [(-1) ** i * 1e30 * (i + 1), 1.0, i / 7]) for i in range(0, 300, 3)],
+    "products beyond doubles": [(i, [1e200 * (i % 7 - 3), float(i)]) for i in range(0, 300, 3)],
+    "beyond doubles times 256": [(i, [1.7e308 if i % 2 else float(i), -1.5]) for i in range(0, 300, 3)],
+    "large and small ones": [(i, [float(i), 1.0]) for i in range(200)] + [(200 + i, [1e12 * i, -3e9]) for i in range(20)],
+}
+
+
+@pytest.mark.parametrize("rows", BIG.values(), ids=BIG.keys())
+@pytest.mark.parametrize("shard", [65_536, 16])
+def test_large_components_stay_exact(spark, rows, shard):
+    """Scores are exact; beyond 64 bits they count as the nearest long."""
+    vectors = [(i, [256 * int(x) if abs(x) >= 2**53 else math.floor(256 * x) for x in e]) for i, e in rows]
+    want = []
+    for i, v in vectors:
+        if i % 50 == 0:
+            found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), j) for j, w in vectors if j != i)
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found[:5])]
     df = spark.createDataFrame([(i, e, 0, 1, 2) for i, e in rows], SCHEMA.replace("float", "double"))
-    want = sorted((i, r, j, s) for i, r, j, s in brute([(i, e) for i, e in rows]))
-    got = sorted(map(tuple, topk.top_k(df.where("vec_id < 0")).collect()))
-    assert got == [] and len(want) == 10
+    got = sorted(map(tuple, topk.top_k(df, shard_rows=shard).collect()))
+    assert got == sorted(want) and len(got) >= 10
+
+
+def test_waves_cover_the_shards():
+    for n in (0, 1, 2, 5, 64, 1000):
+        assert [s for w in topk.waves(n) for s in w] == list(range(n))
 
 
 def test_tree_bounds_hold():
