@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import DOCS, documents, words
 
-from walkweave.llm import simhash, substring, suffix
+from walkweave.llm import simhash, sketch, substring, suffix
 from walkweave.llm.components import components
 from walkweave.llm.sketch import Sketch, build
 from walkweave.llm.spans import joined_runs
@@ -49,6 +49,43 @@ def test_windows(spark, rows, bound):
     assert Counter(map(tuple, got)) == brute_windows(rows)
 
 
+def test_rounds_keep_the_prefilter_sharp(spark):
+    """Ten times more windows than a round's sketch has cells: the exact pass still gets few of the unique ones."""
+    rows = [(i, words(5000 + i, 2000)) for i in range(340)]
+    rows += [(900 + i, words(9000, 40) + " " + words(9100 + i, 1500)) for i in range(3)]
+    bits, through = 16, []
+    frame = documents(spark, rows)
+    rounds = sketch.rounds_for(2 * sum(len(t) for _, t in rows) // 11, bits)
+    assert sum(len(t.split()) - 12 for _, t in rows) > 10 << bits and rounds > 40
+    for turn in range(0, rounds, 16):
+        def hashes(batch, turn=turn):
+            for data in batch.column(0).to_pylist():
+                a, b = substring._names(data.encode().split(), 13)
+                at = sketch.turn_of(a, rounds) == turn
+                yield a[at], b[at]
+
+        made = sketch.build(frame.select("text"), hashes, bits)
+        own = [substring._names(t.encode().split(), 13) for _, t in rows[:340]]
+        a, b = (np.concatenate(x) for x in zip(*own))
+        at = sketch.turn_of(a, rounds) == turn
+        through.append(made.holds(a[at], b[at]).mean())
+    assert max(through) < 0.05
+
+
+def test_windows_in_rounds(spark):
+    rows = DOCS + EXTRA
+    assert sketch.rounds_for(2 * sum(len(t or "") for _, t in rows) // 11, 14) > 1
+    got = substring.dedup(documents(spark, rows), most_bits=14).collect()
+    assert Counter(map(tuple, got)) == brute_windows(rows)
+
+
+def test_bytes_in_rounds(spark):
+    rows = DOCS + EXTRA
+    assert 1 < sketch.rounds_for(2 * sum(len((t or "").encode()) for _, t in rows) // 100, 11) < 6
+    got = suffix.dedup(documents(spark, rows), most_bits=11).collect()
+    assert Counter(map(tuple, got)) == brute_bytes(rows, 200)
+
+
 def test_windows_with_a_crowded_sketch(spark):
     got = substring.dedup(documents(spark), most_bits=16).collect()
     assert Counter(map(tuple, got)) == brute_windows(DOCS)

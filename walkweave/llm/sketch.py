@@ -4,8 +4,8 @@ A sketch has a row of cells for each lane of the hashes.  Each task sends, for
 each range of cells (a shard), the sorted cell numbers that its hashes fall into,
 packed as differences; for each shard the tasks' parts are merged, and only the
 bit "at least ``least``" of each cell goes to the driver.  The sketch's size is
-set by ``bits`` alone, never by the data: with more hashes than cells it lets
-more through, and loses none.
+set by ``bits`` alone.  Where data have more hashes than that has room for, they
+are dealt by :func:`turn_of` into rounds, with a sketch each.
 """
 
 from __future__ import annotations
@@ -28,6 +28,16 @@ def bits_for(hashes: int, most: int, cells_each: int = 4) -> int:
     return max(16, min(most, round(math.log2(max(2, cells_each * hashes)))))
 
 
+def rounds_for(hashes: int, most: int, cells_each: float = 4.5) -> int:
+    """Into how many rounds hashes must be dealt, so that each has ``cells_each`` cells in a sketch of ``most`` bits."""
+    return max(1, math.ceil(cells_each * hashes / (1 << most)))
+
+
+def turn_of(lane: np.ndarray, rounds: int) -> np.ndarray:
+    """The rounds of hashes, by their low halves; cells go by the high ones."""
+    return ((lane & np.uint64(0xFFFFFFFF)) * np.uint64(rounds)) >> np.uint64(32)
+
+
 class Sketch:
     def __init__(self, bits: int, planes: list[np.ndarray]):
         self.bits, self.planes = bits, planes

@@ -53,8 +53,8 @@ def finish(base: DataFrame, spans: DataFrame, fields: list[tuple[str, pa.DataTyp
     """
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("p1", "p2")).alias("s"))
     grouped = checkpointed(listed.select("key", F.col("s.p1").alias("p1"), F.col("s.p2").alias("p2")).mapInArrow(_merged, "key bigint, p1 array<int>, p2 array<int>"))
-    rows = base.count()
-    marked = of_column(grouped.select(F.xxhash64("key").alias("h")), ["h"], bits_for(rows, 27, 16))
+    # At most 128 MB; with more keys than that has room for, more texts than need be go through the join.
+    marked = of_column(grouped.select(F.xxhash64("key").alias("h")), ["h"], bits_for(grouped.count(), 30, 16))
     shared = base.sparkSession.sparkContext.broadcast(marked)
     hashed = base.withColumn("h", F.xxhash64("key"))
     n = len(base.columns)

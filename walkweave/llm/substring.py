@@ -6,6 +6,15 @@ their 128-bit names, only the windows that the sketch has at least twice; a
 window counts once a document.  Whole copies of a text are found first and take
 no part: all their windows start in the smallest document of the copies.
 
+A sketch has about four cells in each of two rows for every window, so that about
+one unique window in twenty gets through.  Where that is more than
+``2 ** most_bits`` cells, the windows are dealt by hash into so many rounds that
+each round's sketch has room for its own; the rounds are independent of each
+other, and each reads the texts again.
+
+Names of windows, and of whole copies, are 128-bit hashes.  Of n different ones
+two are alike with a chance of n * n / 2 ** 129: 4e-13 for the windows of 100 TB.
+
 Edge cases: a null text has no words; a null id neither removes nor loses
 words; rows that share an id don't remove each other's words; texts of any
 length count whole; repeated rows give repeated rows; extra columns are ignored;
@@ -14,13 +23,15 @@ an empty table gives an empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, checkpointed, sha, stored
-from .sketch import bits_for, build, of_column
+from .sketch import bits_for, build, of_column, rounds_for, turn_of
 from .spans import finish, has_repeated_ids, joined_runs, row_key
 from .windows import window_names, word_symbols
 
@@ -38,7 +49,7 @@ def _first_places(a: np.ndarray) -> np.ndarray:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_bits: int = 29, broadcast_rows: int = 2_000_000) -> DataFrame:
     """What stays of each document: ``doc_id, n_words, n_removed, kept_sha256``.
 
-    ``most_bits`` bounds the sketch (two rows of ``2 ** most_bits`` bits are
+    ``most_bits`` bounds a round's sketch (two rows of ``2 ** most_bits`` bits are
     broadcast); ``broadcast_rows`` bounds the list of whole copies that is
     broadcast instead of joined by a shuffle.
     """
@@ -63,16 +74,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 if len(words) >= width:
                     yield i, words
 
-    def hashes(batch: pa.RecordBatch):
-        for _, words in sequences(batch):
-            a, b = _names(words, width)
-            at = _first_places(a)
-            yield a[at], b[at]
+    about = 2 * (size[0] or 0) // 11  # windows, as words and the spaces behind them have five or six bytes in most languages
+    rounds = rounds_for(about, most_bits)
+    context = docs.sparkSession.sparkContext
+
+    def hashes_of(turn: int):
+        def hashes(batch: pa.RecordBatch):
+            for _, words in sequences(batch):
+                a, b = _names(words, width)
+                at = _first_places(a)
+                at = at[turn_of(a[at], rounds) == turn]
+                yield a[at], b[at]
 
-    sketch = build(marked, hashes, bits_for((size[0] or 0) // 6, most_bits, 2))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+        return hashes
 
-    def windows(chosen, once: bool):
+    def windows(turn: int, chosen, once: bool):
         def run(batches):
             for batch in batches:
                 keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -87,7 +103,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 held = 0
                 for i, words in sequences(batch):
                     a, b = _names(words, width)
-                    at = np.flatnonzero(chosen.value.holds(a, b))
+                    at = np.flatnonzero(chosen.value.holds(a, b) & (turn_of(a, rounds) == turn))
                     if once and len(at):
                         at = at[_first_places(a[at])]
                     if len(at):
@@ -101,12 +117,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
         return run
 
-    seen = marked.mapInArrow(windows(shared, True), "a bigint, b bigint, doc_id bigint")
-    repeated = stored(seen.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n"))
-    shared.destroy()  # what was computed with it is stored
-    exact = docs.sparkSession.sparkContext.broadcast(of_column(repeated, ["a", "b"], bits_for(repeated.count(), most_bits, 8)))
-    placed = marked.mapInArrow(windows(exact, False), "a bigint, b bigint, doc_id bigint, at int" + ", key bigint" * keyed)
-    hits = placed.join(repeated, ["a", "b"]).where("doc_id > first").select(F.col("key" if keyed else "doc_id").alias("key"), F.col("at").alias("p1"), (F.col("at") + width).alias("p2"))
+    def hits_of(turn: int) -> DataFrame:
+        shared = context.broadcast(build(marked, hashes_of(turn), bits_for(about, most_bits)))
+        seen = marked.mapInArrow(windows(turn, shared, True), "a bigint, b bigint, doc_id bigint")
+        repeated = stored(seen.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n"))
+        shared.destroy()  # what was computed with it is stored
+        exact = context.broadcast(of_column(repeated, ["a", "b"], bits_for(repeated.count(), most_bits, 8)))
+        placed = marked.mapInArrow(windows(turn, exact, False), "a bigint, b bigint, doc_id bigint, at int" + ", key bigint" * keyed)
+        hits = placed.join(repeated, ["a", "b"]).where("doc_id > first").select(F.col("key" if keyed else "doc_id").alias("key"), F.col("at").alias("p1"), (F.col("at") + width).alias("p2"))
+        if rounds > 1:
+            hits = stored(hits)
+            exact.destroy()
+        return hits
+
+    hits = reduce(DataFrame.union, map(hits_of, range(rounds)))
 
     def step(batch: pa.RecordBatch):
         counts, removed, digests = [], [], []
