@@ -6,9 +6,11 @@ words (the whole item if it has fewer).  The automaton's symbols are words, so
 that its matches are word ranges, which map back to offsets in the original
 text.  A word inside any matching window is hit.
 
-The driver collects items in blocks of about ``block_bytes``; each block's
-automaton goes over the texts in a pass of its own, without a shuffle, so that
-what an executor holds does not grow with the benchmark.
+The automaton is broadcast, so the items' size is checked: their texts may have
+``block_bytes`` bytes together (the automaton takes some hundred bytes for each).
+A larger benchmark stays distributed: its windows are named by 128-bit hashes, one
+scan of the texts names theirs and keeps those that a sketch of the benchmark's
+knows, and these are joined.  Both ways give the same rows.
 
 Edge cases: a null text or item has no words; a null ``item_id`` still marks
 words but is no item in counts and digests; equal ids count once; repeated
@@ -18,15 +20,18 @@ nothing is hit.
 
 from __future__ import annotations
 
-import math
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, keep_rows, map_rows, sha, texts
+from .common import bounded_batches, byte_values, keep_rows, map_rows, sha, stored, texts
+from .sketch import bits_for, of_column
+from .spans import finish, row_key
+from .windows import window_names, word_symbols
 
 #: A-Z become lower case; other ASCII characters but digits and letters become spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -86,71 +91,141 @@ def offsets(data: bytes, ranges: list[tuple[int, int]]) -> list[int]:
     return [len(data[:at].decode()) for a, b in ranges for at in (places[a][0], places[b - 1][1])]
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int | None, bytes | None]]]:
-    own = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    return [[(r[0], None if r[1] is None else r[1].encode()) for r in own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()] for b in range(n)]
+def _automaton(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[tuple[int | None, bytes | None]] | None:
+    """All items, if their texts have at most ``block_bytes`` bytes together; else None."""
+    own = items.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = own.where("text IS NOT NULL").distinct()
+    # An item counts for itself, too, as empty texts have no bytes.
+    total = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    return [(r[0], r[1].encode()) for r in own.collect()] if total <= block_bytes else None
+
+
+def _windows(items: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
+    """``n, a, b, item``: the windows of all items by their 128-bit names."""
+
+    def run(batches):
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            for item, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
+                found = words(data)
+                n = min(len(found), width)
+                if n:
+                    a, b = (window_names(x, n, lane).view(np.int64) for lane, x in enumerate(word_symbols(found)))
+                    for column, values in zip(columns, ([n] * len(a), a, b, [item] * len(a))):
+                        column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["n", "a", "b", "item"])
+
+    own = items.select(F.col(f"`{item_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    bounded_batches(own.sparkSession)
+    return stored(own.mapInArrow(run, "n int, a bigint, b bigint, item bigint").distinct())
+
+
+def _joined_hits(base: DataFrame, windows: DataFrame) -> DataFrame:
+    """``key, at, n, a, b``: where windows of items occur in the texts of ``base`` (``key, doc_id, text``).
+
+    A sketch of the windows' names, of a size that does not grow with them
+    beyond 2^29 cells, keeps most other windows from the join, which is exact.
+    """
+    kinds = windows.select("n", "a", "b").distinct()
+    lengths = sorted(r[0] for r in kinds.select("n").distinct().collect())  # so many as a window has words
+    sketch = base.sparkSession.sparkContext.broadcast(of_column(kinds, ["a", "b"], bits_for(kinds.count(), 29, 16)))
+    bounded_batches(base.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(2))):
+                found = words(data)
+                symbols = word_symbols(found) if found else ()
+                for n in lengths if found else ():
+                    a, b = (window_names(x, n, lane) for lane, x in enumerate(symbols))
+                    at = np.flatnonzero(sketch.value.holds(a, b))
+                    if len(at):
+                        out.append((np.full(len(at), key), at, np.full(len(at), n), a[at].view(np.int64), b[at].view(np.int64)))
+            if out:
+                columns = [np.concatenate(x) for x in zip(*out)]
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "at", "n", "a", "b"])
+
+    return stored(base.mapInArrow(run, "key bigint, at int, n int, a bigint, b bigint").join(kinds, ["n", "a", "b"]).select("key", "at", "n", "a", "b"))
+
+
+def _counts(data: list[bytes | None], sequences: list[list[bytes]], hits: list[list[tuple[int, int]]]) -> list[list]:
+    """Words, hit words, and the hits' offsets in the original texts."""
+    return [[len(x) for x in sequences], [sum(b - a for a, b in x) for x in hits], [offsets(d or b"", x) for d, x in zip(data, hits)]]
+
+
+RESULT = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 1 << 20
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 4 << 20
 ) -> DataFrame:
     """Each document's hits: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans``.
 
     ``spans``: starts and ends, one after another, of the hit ranges in code
-    points of the original text.
+    points of the original text.  ``block_bytes`` bounds the automaton.
     """
-    blocks = _blocks(items, item_col, item_text_col, block_bytes)
-    context = docs.sparkSession.sparkContext
-    frame = texts(docs, id_col, text_col, F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("owners"))
-
-    def scan_with(broadcast, last: bool):
-        def make():
-            found_by = Items(broadcast.value, width)
-
-            def step(batch: pa.RecordBatch):
-                data = byte_values(batch.column(1))
-                before, owned = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                sequences = (words(x) for x in data)
-                counts, hits, owners = [], [], []
-                for sequence, old, own in zip(sequences, before, owned):
-                    ranges, new = found_by.find(sequence)
-                    counts.append(len(sequence))
-                    hits.append(joined(ranges + list(zip(old[::2], old[1::2]))) if old else ranges)
-                    owners.append({*own, *(x for x in new if x is not None)})
-                ids = batch.column(0).to_pylist()
-                if not last:
-                    yield [ids, [None if x is None else x.decode() for x in data], [[y for r in x for y in r] for x in hits], [sorted(x) for x in owners]]
-                    return
-                n_hit = [sum(b - a for a, b in x) for x in hits]
-                digests = [sha(",".join(sorted(map(str, x))).encode()) for x in owners]
-                yield [ids, counts, n_hit, [len(x) for x in owners], digests, [n > 0 for n in n_hit], [offsets(d or b"", x) for d, x in zip(data, hits)]]
-
-            return step
-
-        return make
-
-    between = [("doc_id", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.int32())), ("owners", pa.list_(pa.int64()))]
-    result = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.int32()))]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        frame = map_rows(frame, result if last else between, scan_with(context.broadcast(block), last))
-    return frame
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    block = _automaton(items, item_col, item_text_col, block_bytes)
+    if block is None:
+        return _find_by_join(docs, _windows(items, item_col, item_text_col, width), id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def make():
+        found_by = Items(shared.value, width)
+
+        def step(batch: pa.RecordBatch):
+            data = byte_values(batch.column(1))
+            sequences = [words(x) for x in data]
+            found = [found_by.find(x) for x in sequences]
+            counts, n_hit, spans = _counts(data, sequences, [x for x, _ in found])
+            owners = [sorted(str(i) for i in x if i is not None) for _, x in found]
+            yield [batch.column(0).to_pylist(), counts, n_hit, [len(x) for x in owners], [sha(",".join(x).encode()) for x in owners], [n > 0 for n in n_hit], spans]
+
+        return step
+
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
+    return map_rows(texts(docs, id_col, text_col), list(zip(RESULT, types)), make)
+
+
+def _find_by_join(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    base = _keyed(docs, id_col, text_col)
+    hits = _joined_hits(base, windows)
+    own = hits.select("key", "n", "a", "b").distinct().join(windows.where("item IS NOT NULL"), ["n", "a", "b"]).select("key", "item").distinct()
+    listed = F.array_sort(F.collect_list(F.col("item").cast("string")))
+    owners = own.groupBy(F.col("key").alias("owned")).agg(F.count("item").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"))
+
+    def step(batch: pa.RecordBatch):
+        data = byte_values(batch.column(2))
+        ranges = [joined(list(zip(p.as_py(), q.as_py()))) if p.is_valid else [] for p, q in zip(batch.column(3), batch.column(4))]
+        return [batch.column(0).to_pylist(), batch.column(1).to_pylist(), *_counts(data, [words(x) for x in data], ranges)]
+
+    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int32()))]
+    found = finish(base, hits.select("key", F.col("at").alias("p1"), (F.col("at") + F.col("n")).alias("p2")), fields, step)
+    rows = found.join(owners, F.col("key") == F.col("owned"), "left")
+    return rows.withColumns({"n_items": F.coalesce("n_items", F.lit(0).cast("bigint")), "items_sha256": F.coalesce("items_sha256", F.lit(sha(b""))), "contaminated": F.col("n_hit") > 0}).select(*RESULT)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, doc_id, text`` under fixed names."""
+    return docs.select(row_key(docs, id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 4 << 20
+) -> DataFrame:
     """The documents without any hit word, with all their columns."""
-    place = docs.columns.index(text_col)
-    for block in _blocks(items, item_col, item_text_col, block_bytes):
-        broadcast = docs.sparkSession.sparkContext.broadcast(block)
+    block = _automaton(items, item_col, item_text_col, block_bytes)
+    if block is None:
+        hit = _joined_hits(_keyed(docs, id_col, text_col), _windows(items, item_col, item_text_col, width)).select(F.col("key").alias("__hit")).distinct()
+        return docs.withColumn("__key", row_key(docs, id_col, text_col)).join(hit, F.col("__key") == F.col("__hit"), "left_anti").drop("__key")
+    place, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(block)
 
-        def make(broadcast=broadcast):
-            found_by = Items(broadcast.value, width)
-            return lambda batch: [not found_by.find(words(x))[0] for x in byte_values(batch.column(place))]
+    def make():
+        found_by = Items(shared.value, width)
+        return lambda batch: [not found_by.find(words(x))[0] for x in byte_values(batch.column(place))]
 
-        docs = keep_rows(docs, make)
-    return docs
+    return keep_rows(docs, make)
 
 
 #: The same counts in DuckDB's SQL.
