@@ -74,7 +74,38 @@ def test_label_model_finds_accuracies_and_correlations():
     assert ((model.posterior > 0.5) == truth).mean() > 0.85
 
 
+def test_posterior_against_brute_force():
+    """Bayes' rule over the groups' patterns, counted one by one from the model's own posterior."""
+    rng = np.random.default_rng(5)
+    truth = rng.random(300) < 0.3
+    fires = np.column_stack([np.where(rng.random(300) < q, truth, ~truth) for q in (0.9, 0.8, 0.7)])
+    fires = np.column_stack((fires, fires[:, 1], rng.random(300) < 0.1)).astype(float)
+    labels = np.where(rng.random(300) < 0.9, truth, ~truth).astype(float)
+    model = T.LabelModel(fires, labels, rounds=400)
+    assert any({1, 3} <= set(g) for g in model.groups) and sorted(v for g in model.groups for v in g) == list(range(6))
+    rows, post = [(*map(int, f), int(y)) for f, y in zip(fires, labels)], model.posterior.tolist()
+    rate = (sum(post) + 1) / (len(post) + 2)
+    for row, p in list(zip(rows, post))[:60]:
+        toxic, clean = rate, 1 - rate
+        for group in model.groups:
+            same = [tuple(r[v] for v in group) == tuple(row[v] for v in group) for r in rows]
+            toxic *= (sum(q for q, s in zip(post, same) if s) + 0.5) / (sum(post) + 0.5 * 2 ** len(group))
+            clean *= (sum(1 - q for q, s in zip(post, same) if s) + 0.5) / (len(post) - sum(post) + 0.5 * 2 ** len(group))
+        assert abs(toxic / (toxic + clean) - p) < 1e-3
+
+
+def test_equal_texts_count_as_their_highest_label(spark):
+    docs, _, labels = tables(spark)
+    again = [(10_000 + i, t) for i, t in docs]
+    frame = documents(spark, [*docs, *again])
+    low = spark.createDataFrame([(10_000 + i, 1, 0) for i, _ in docs], "doc_id bigint, quality int, toxic int")
+    found = [T.learn(f, n) for f, n in ((frame, labels.union(low)), (frame.orderBy("doc_id", ascending=False), low.union(labels)))]
+    assert found[0].voters == found[1].voters and found[0].weights == found[1].weights
+    assert any(v.startswith("grunk") for v in found[0].voters)
+
+
 def test_finder_agrees_with_plain_search():
     finder = T.Finder(["abc", "abcd$", "x$", *T.PATTERNS])
     assert finder("Abcde abcd. X!!") == [0, 1, 2, 4] and finder("xy ab") == [] and finder(None) == []
+    assert {T.PATTERNS[i - 3] for i in finder("you are sooooo d*mb, STOP!")} == {"#stretched", "#masked", "#shouted"}
     assert finder("AAAA BBBB CCCC DDDD EEEE FFFF") == [3]

@@ -4,16 +4,18 @@ Voters are terms (whole words, or beginnings of words) mined from labelled
 texts, and patterns of writing.  A generative label model (each voter fires with
 one probability in toxic and another in clean texts, estimated by expectation
 maximisation together with the labels as one more, fallible voter) gives
-posterior labels; voters that fire together beyond what the label explains share
-their weight.  A linear classifier is trained on the posterior labels and scores
+posterior labels; voters that fire together beyond what the label explains are
+modelled together.  A linear classifier is trained on the posterior labels and scores
 every text.
 
 The fit takes a bounded sample of labelled rows (``sample_rows``, those with the
-smallest hashes of the id, equal texts once); everything else covers all rows.
+smallest hashes of the id, equal texts once, with their highest label); everything
+else covers all rows.  ``candidates`` and ``voters`` bound the terms that are tried
+and taken.
 
 Edge cases: a null or empty text, or one without any voter, gets the classifier's
 base score; rows with a null label or id teach nothing, and an id with several
-labels counts as its highest; without toxic labels every score is the smoothed
+labels counts as its highest, as do equal texts of several ids; without toxic labels every score is the smoothed
 base rate, below one half; extra columns are ignored; repeated rows give repeated rows.
 """
 
@@ -31,9 +33,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, checkpointed, map_rows, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SHOUT = re.compile(r"[!?]{2,}")
+#: Patterns of writing, beside mostly capitals: runs of marks, stretched letters, letters behind signs, and shouted words.
+_FORMS = {
+    "#marks": re.compile(r"[!?]{2,}"),
+    "#stretched": re.compile(r"([^\W\d_])\1{4}"),
+    "#masked": re.compile(r"[^\W\d_][*#$%]+[^\W\d_]"),
+    "#shouted": re.compile(r"\b[A-Z]{4,}!"),
+}
 _BEGINNINGS = (3, 4, 5, 6)
-PATTERNS = ("#capitals", "#marks")
+PATTERNS = ("#capitals", *_FORMS)
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -45,14 +53,12 @@ def terms_of(words: set[str]) -> set[str]:
 
 
 def patterns_of(text: str) -> list[str]:
-    """Which patterns of writing a text shows: mostly capitals, and runs of marks."""
+    """Which patterns of writing a text shows."""
     out = []
     upper = sum(map(str.isupper, text))
     if upper > 20 and 2 * upper > sum(map(str.isalpha, text)):
         out.append(PATTERNS[0])
-    if _SHOUT.search(text):
-        out.append(PATTERNS[1])
-    return out
+    return out + [name for name, form in _FORMS.items() if form.search(text)]
 
 
 class Finder:
@@ -76,37 +82,67 @@ class Finder:
 
 
 class LabelModel:
-    """Accuracies and correlations of voters, without trust in any single one."""
+    """A generative model of voters: what they do given the label, and which of them act together.
 
-    def __init__(self, fires: np.ndarray, labels: np.ndarray, rounds: int = 50):
-        votes = np.column_stack((fires, labels)).astype(float)
+    Voters whose residuals (what the label leaves unexplained) are correlated
+    beyond ``linked`` make a group of up to ``most``; a group fires in patterns,
+    each with one probability in toxic and another in clean texts.  All is
+    estimated by expectation maximisation, the given labels being one more,
+    fallible voter; groups are found once the first estimates stand.
+    """
+
+    def __init__(self, fires: np.ndarray, labels: np.ndarray, rounds: int = 60, linked: float = 0.3, most: int = 4):
+        self.votes = np.column_stack((fires, labels)).astype(float)
+        self.groups = [[i] for i in range(self.votes.shape[1])]
         posterior = np.where(labels > 0, 0.9, 0.1)
-        share = np.ones(votes.shape[1])
         for turn in range(rounds):
             before = posterior
             self.rate = (posterior.sum() + 1) / (len(posterior) + 2)
-            self.on_toxic = (posterior @ votes + 0.5) / (posterior.sum() + 1)
-            self.on_clean = ((1 - posterior) @ votes + 0.5) / ((1 - posterior).sum() + 1)
-            if turn == 2:
-                share = self._shares(votes, posterior)
-            yes = votes @ (share * np.log(self.on_toxic / self.on_clean))
-            no = (1 - votes) @ (share * np.log((1 - self.on_toxic) / (1 - self.on_clean)))
-            odds = np.log(self.rate / (1 - self.rate)) + yes + no
+            self.on_toxic, self.on_clean = self._means(posterior), self._means(1 - posterior)
+            if turn == 3:
+                self.correlation = self._correlation(posterior)
+                self.groups = self._grouped(linked, most)
+            odds = np.log(self.rate / (1 - self.rate)) + self._evidence(posterior)
             posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            if turn > 3 and np.abs(posterior - before).max() < 1e-6:
+            if turn > 4 and np.abs(posterior - before).max() < 1e-6:
                 break
-        self.posterior, self.share = posterior, share
-        self.accuracy = (posterior @ votes + (1 - posterior) @ (1 - votes)) / len(votes)
-
-    def _shares(self, votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """A voter's part of the weight: less, the more it is correlated with others given the label."""
-        expected = np.outer(posterior, self.on_toxic) + np.outer(1 - posterior, self.on_clean)
-        rest = votes - expected
+        self.posterior = posterior
+        #: A voter's part of its group's weight.
+        self.share = np.array([1 / len(g) for v in range(self.votes.shape[1]) for g in self.groups if v in g])
+        self.accuracy = (posterior @ self.votes + (1 - posterior) @ (1 - self.votes)) / len(self.votes)
+
+    def _means(self, weight: np.ndarray) -> np.ndarray:
+        return (weight @ self.votes + 0.5) / (weight.sum() + 1)
+
+    def _evidence(self, posterior: np.ndarray) -> np.ndarray:
+        """The log of how much likelier each row's patterns are in toxic than in clean texts."""
+        total = np.zeros(len(self.votes))
+        self.tables: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        for group in self.groups:
+            pattern = (self.votes[:, group] @ (1 << np.arange(len(group)))).astype(int)
+            size = 1 << len(group)
+            toxic, clean = ((np.bincount(pattern, w, size) + 0.5) / (w.sum() + 0.5 * size) for w in (posterior, 1 - posterior))
+            self.tables.append((group, toxic, clean))
+            total += np.log(toxic / clean)[pattern]
+        return total
+
+    def _correlation(self, posterior: np.ndarray) -> np.ndarray:
+        """Correlations of voters given the label."""
+        rest = self.votes - np.outer(posterior, self.on_toxic) - np.outer(1 - posterior, self.on_clean)
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        self.correlation = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
-        excess = np.clip(self.correlation - 0.1, 0, None)
-        np.fill_diagonal(excess, 0)
-        return 1 / (1 + excess.sum(axis=1))
+        return (rest.T @ rest) / len(rest) / np.outer(spread, spread)
+
+    def _grouped(self, linked: float, most: int) -> list[list[int]]:
+        """The most correlated voters first, as long as their group is small enough; the given labels stand alone."""
+        n = self.votes.shape[1]
+        group = {v: [v] for v in range(n)}
+        pairs = np.argwhere(np.triu(np.abs(self.correlation[: n - 1, : n - 1]) > linked, 1))
+        for a, b in sorted(pairs.tolist(), key=lambda p: (-abs(self.correlation[p[0], p[1]]), p)):
+            if group[a] is not group[b] and len(group[a]) + len(group[b]) <= most:
+                merged = sorted(group[a] + group[b])
+                for v in merged:
+                    group[v] = merged
+        return [g for v, g in group.items() if v == g[0]]
 
 
 def logistic(x: np.ndarray, target: np.ndarray, penalty: float = 0.02, rounds: int = 100) -> np.ndarray:
@@ -140,8 +176,9 @@ class Classifier:
 def _choose(rows: list[tuple[int, list[int]]], terms: list[str], most: int, chance: float = 5e-7) -> list[int]:
     """Terms that together cover the toxic texts, each chosen for the texts that no earlier one of its round has.
 
-    A term counts only if so many toxic texts and no clean one would hold it by
-    chance less often than ``chance``, which allows for the many terms tried.
+    A term counts only if so large a part of its texts would be toxic by chance
+    less often than ``chance`` (by Chernoff's bound), which allows for the many
+    terms tried; clean texts that hold it count against it by the share of toxic ones.
     Of terms that begin with one another only one is taken.  A second round
     covers the texts again by other terms, as long as these add as many.
     """
@@ -157,11 +194,15 @@ def _choose(rows: list[tuple[int, list[int]]], terms: list[str], most: int, chan
     for i, f in enumerate(toxic):
         for t in f:
             holders[t].append(i)
-    worth = np.array([len(h) for h in holders], float) - 5 * wrong
+    right = np.array([len(h) for h in holders], float)
     bare = [t.rstrip("$") for t in terms]
-    usable = worth >= enough
+    part = right / np.maximum(right + wrong, 1)
+    surprise = right * np.log(np.maximum(part, 1e-9) / base) + wrong * np.log(np.maximum(1 - part, 1e-9) / (1 - base))
+    free = (right >= 3) & (part > base) & (surprise >= -np.log(chance))
     chosen: list[int] = []
-    for least in (2, enough):
+    for price, least in ((15, 2), (15, enough), (5, 2), (5, enough)):  # nearly pure terms first, then weaker ones
+        worth = right - price * base / (1 - base) * wrong
+        usable = free & (worth > 0)
         gain = np.where(usable, worth, -1)
         covered = np.zeros(len(toxic), bool)
         while n and len(chosen) < most and gain.max() >= least:
@@ -173,7 +214,7 @@ def _choose(rows: list[tuple[int, list[int]]], terms: list[str], most: int, chan
                     for t in toxic[i]:
                         gain[t] -= 1
             kin = [i for i in range(n) if bare[i].startswith(bare[best]) or bare[best].startswith(bare[i])]
-            usable[kin] = False
+            free[kin] = False
             gain[kin] = -1
     return chosen
 
@@ -183,14 +224,14 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, candidates: int = 5_000, voters: int = 96) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, candidates: int = 5_000, voters: int = 400) -> Classifier:
     """The classifier, from a sample of at most ``sample_rows`` labelled rows outside the held-out part."""
     bounded_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y")).where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("y").alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # so many rows of two numbers may be broadcast
     sample = texts(docs, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(marked), "doc_id")
-    sample = checkpointed(sample.dropDuplicates(["text"]).select("text", "y"))
+    sample = checkpointed(sample.groupBy("text").agg(F.max("y").alias("y")))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -208,7 +249,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield from rows()
 
     mined = sample.mapInArrow(mine, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    mined = mined.where("toxic >= 3 AND toxic >= 9 * clean").orderBy(F.desc(F.col("toxic") - F.col("clean")), F.desc(F.length("term")), "term").limit(candidates)
+    counted = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    price = 5 * counted.get(1, 0) / max(1, counted.get(0, 0))  # a clean text weighs less the more of them there are
+    mined = mined.where((F.col("toxic") >= 3) & (F.col("toxic") > price * F.col("clean"))).orderBy(F.desc(F.col("toxic") - price * F.col("clean")), F.desc(F.length("term")), "term").limit(candidates)
     # Of equally good terms the longest, most specific one comes first.
     terms = [r[0] for r in mined.collect()]
     find = Finder([*terms, *PATTERNS])
