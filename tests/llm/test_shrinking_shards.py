@@ -3,6 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from walkweave.llm import resharding as R
+from walkweave.llm.common import checkpointed
 
 
 def test_shrinking_leaves_each_row_once(spark, tmp_path):
@@ -10,7 +11,7 @@ def test_shrinking_leaves_each_row_once(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(400)], "doc_id bigint, text string")
     old = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(40)).cast("int")).withColumn("slot", F.lit(0).cast("bigint"))
     old.write.partitionBy("shard").parquet(path)
-    placed = R.reshard(docs, old_shards=40, shards=32).localCheckpoint()
+    placed = checkpointed(R.reshard(docs, old_shards=40, shards=32))
     R.rewrite(docs, placed, path)
     back = spark.read.parquet(path).collect()
     assert Counter(r.doc_id for r in back) == Counter(range(400)) and {r.shard for r in back} == set(range(32))
