@@ -27,15 +27,23 @@ from .common import bounded_batches, map_rows, sha, texts
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
-DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+PEM_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+#: A line about an encrypted body, by the old format's names.
+ENCRYPTED = re.compile(r"^DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*([0-9A-Fa-f]{16,64})[ \t]*$", re.MULTILINE)
+#: Possessive and from a run's first character on, so that a run is read once.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}")
 HEADER = re.compile(r"^|e[w-z0-9_-]|[CDI]")
 #: Where a key may begin: a sequence in base64 or hexadecimal, or OpenSSH's mark.
-START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{18})|30[0-8](?=[0-9A-Fa-f]{37})|b3BlbnNzaC1rZXktdjEA")
+START = re.compile(r"(?<![0-9A-Fa-f])30(?::[0-9A-Fa-f]{2}){12}|M[A-I](?=[A-Za-z0-9+/_-]{18})|30[0-8](?=[0-9A-Fa-f]{37})|b3BlbnNzaC1rZXktdjEA")
 BASE64_LINE, HEX_LINE = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+#: Bytes in hexadecimal, colons between them, over line ends.
+COLON_PAIRS = re.compile(r"[0-9A-Fa-f]{2}(?::\s*[0-9A-Fa-f]{2})*")
 #: An end of line, or one written with backslashes.
 BREAK = re.compile(r"[ \t]*(?:[\r\n]|\\+[rn])(?:[ \t\r\n]|\\+[rn])*")
 
+#: Bytes of a key at most: lengths beyond that are no key's, and would have much text read for nothing.
+MOST_KEY = 1 << 17
+
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt")
 
@@ -168,12 +176,14 @@ def tokens(text: str) -> list[Span]:
 def _lines(text: str, at: int, line: re.Pattern, most: int | None) -> tuple[str, int]:
     """Up to ``most`` characters of consecutive lines from ``at`` on, without the breaks, and the place behind them."""
     got, size, end = [], 0, at
-    while (most is None or size < most) and (m := line.match(text, at)):
-        part = m[0] if most is None else m[0][: most - size]
-        got.append(part)
-        size += len(part)
-        at = end = m.start() + len(part)
-        if at < m.end() or not (m := BREAK.match(text, at)):
+    while most is None or size < most:
+        m = line.match(text, at, len(text) if most is None else at + most - size)
+        if not m:
+            break
+        got.append(m[0])
+        size += len(m[0])
+        end = m.end()
+        if size == most or not (m := BREAK.match(text, end)):
             break
         at = m.end()
     return "".join(got), end
@@ -190,17 +200,33 @@ def _sequence_size(data: bytes) -> int | None:
 def key_at(text: str, at: int) -> Span | None:
     """The private key that begins at this place, in one line or several."""
     if text[at] == "b":
-        body, end = _lines(text, at, BASE64_LINE, None)
-        size = ssh_size(from_base64(body[: len(body) - (len(body) % 4 == 1)]) or b"")
+        size, most = None, 400
+        while size is None and most <= MOST_KEY:  # more is read only as long as the fields' lengths ask for it
+            body, _ = _lines(text, at, BASE64_LINE, most)
+            data = from_base64(body[: len(body) - (len(body) % 4 == 1)]) or b""
+            size = ssh_size(data)
+            if len(body) < most or int.from_bytes(data[15:19], "big") > 64:
+                break
+            most *= 4
         if size is None:
             return None
         end = _lines(text, at, BASE64_LINE, -(-size * 4 // 3))[1]
         return "ssh", at, end + len(re.compile("={0,2}").match(text, end)[0])
+    if text[at + 2 : at + 3] == ":":
+        size = _sequence_size(bytes.fromhex(text[at : at + 17].replace(":", "")))
+        if size is None or 3 * size > len(text) or size > MOST_KEY:
+            return None
+        pairs = COLON_PAIRS.match(text, at, at + 6 * size)[0]  # lines of 15 bytes may be indented by up to 45 places
+        data = bytes.fromhex(re.sub(r"[:\s]", "", pairs))
+        if size > len(data) or not is_private_key(data[:size]):
+            return None
+        ends = [m.end() for m in re.finditer(r"[0-9A-Fa-f]{2}", pairs)]
+        return "der", at, at + ends[size - 1]
     hexadecimal = text[at] == "3"
     line, read = (HEX_LINE, bytes.fromhex) if hexadecimal else (BASE64_LINE, from_base64)
     head, _ = _lines(text, at, line, 12)
     size = _sequence_size(read(head)) if len(head) == 12 else None
-    if size is None or size > len(text):
+    if size is None or size > len(text) or size > MOST_KEY:
         return None
     most = 2 * size if hexadecimal else -(-size * 4 // 3)
     body, end = _lines(text, at, line, most)
@@ -209,20 +235,35 @@ def key_at(text: str, at: int) -> Span | None:
     return "der", at, end if hexadecimal else end + len(re.compile("={0,2}").match(text, end)[0])
 
 
+def armoured(text: str) -> list[tuple[int, int]]:
+    """Spans of armoured private keys, from the last opening line before each closing one of its kind."""
+    out, opened = [], None
+    for m in PEM_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m
+        elif opened and opened[2] == m[2]:
+            body = re.sub(r"\\+[rn]", "\n", text[opened.end() : m.start()]).replace("\\/", "/")
+            sealed = ENCRYPTED.search(body)
+            data = from_base64(re.sub(r"\s+", "", re.sub(r"^[A-Za-z-]+:.*$", "", body, flags=re.MULTILINE)))
+            # An encrypted body is whole blocks of its cipher; the line about it gives one block.
+            blocks = bool(sealed) and bool(data) and len(data) >= 64 and len(data) % 8 == 0
+            if data and (blocks or is_private_key(data) or is_ssh_key(data)):
+                out.append((opened.start(), m.end()))
+            opened = None
+    return out
+
+
 def confirmed(text: str) -> list[Span]:
     """Spans of keys and tokens that decoding confirms."""
-    out, armoured = [], []
-    for m in PEM.finditer(text):
-        body = re.sub(r"\\+[rn]", "\n", m[2]).replace("\\/", "/")
-        body = re.sub(r"^[A-Za-z-]+:.*$", "", body, flags=re.MULTILINE)
-        data = from_base64(re.sub(r"\s+", "", body))
-        if data and ("ENCRYPTED" in m[2] or is_private_key(data) or is_ssh_key(data)):
-            out.append(("pem", m.start(), m.end()))
-            armoured.append((m.start(), m.end()))
+    out = [("pem", a, b) for a, b in armoured(text)]
+    keys = iter([*out, ("pem", len(text), len(text))])
+    armour = next(keys)
     out += tokens(text)
     end = 0
     for m in START.finditer(text):
-        if m.start() < end or any(a <= m.start() < b for a, b in armoured):
+        while armour[2] <= m.start() < len(text):
+            armour = next(keys)
+        if m.start() < end or m.start() >= armour[1]:
             continue
         if found := key_at(text, m.start()):
             out.append(found)
@@ -254,7 +295,7 @@ def scan(text: str | None, data: bytes | None = None) -> list[Span]:
     out = []
     if any(n in low for n in _NAMES):
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    if b"-----BEGIN " in data or b"eyJ" in data or max(map(len, data.translate(_RUNS).split()), default=0) >= 20:
+    if b"-----BEGIN " in data or b"eyJ" in data or b"30:" in data or max(map(len, data.translate(_RUNS).split()), default=0) >= 20:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
         out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
         out += confirmed(text)
