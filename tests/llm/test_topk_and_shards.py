@@ -135,3 +135,38 @@ def test_rewriting_leaves_other_shards(spark, tmp_path):
     changed = {r.shard for r in R.affected_shards(placed).collect()}
     back = spark.read.parquet(str(tmp_path / "out")).collect() if changed else []
     assert Counter((r.doc_id, r.shard, r.slot) for r in back) == Counter((r.doc_id, r.shard, r.slot) for r in placed.collect() if r.shard in changed)
+
+
+ODD = [(i, "x" * (i % 37)) for i in range(300)] + [(None, "a"), (None, "a"), (None, None), (3, "xxx"), (3, "other"), (7, "x" * 7), (7, "x" * 7)]
+
+
+@pytest.mark.parametrize("old, new", [(8, 12), (12, 5), (6, 6)])
+def test_rewriting_keeps_every_row(spark, tmp_path, old, new):
+    """Null and repeated ids, and columns that clash, through growing, shrinking and evening out."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "out")
+    docs = spark.createDataFrame([(i, t, k, str(k)) for k, (i, t) in enumerate(ODD)], "doc_id bigint, text string, slot int, shard string")
+    first = R.reshard(docs, old_shards=1, shards=old)
+    R.rewrite(docs, first, path)
+    assert spark.read.parquet(path).count() == len(ODD)
+    by_hash = docs.withColumn("__s", F.pmod(F.xxhash64("doc_id"), F.lit(old)).cast("int"))
+    by_hash.withColumnsRenamed({"slot": "own_slot", "shard": "own_shard"}).withColumnRenamed("__s", "shard").withColumn("slot", F.lit(0).cast("bigint")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    placed = R.reshard(docs, old_shards=old, shards=new)
+    R.rewrite(docs, placed, path)
+    back = spark.read.parquet(path)
+    assert Counter((r.doc_id, r.text, r.own_slot, r.own_shard) for r in back.collect()) == Counter((i, t, k, str(k)) for k, (i, t) in enumerate(ODD))
+    changed = {r.shard for r in R.affected_shards(placed).collect()}
+    want = Counter((r.doc_id, r.size, r.shard, r.slot) for r in placed.collect() if r.shard in changed)
+    assert Counter((r.doc_id, len(r.text or "") + 16, r.shard, r.slot) for r in back.collect() if r.shard in changed) == want
+    assert {r.shard for r in back.select("shard").distinct().collect()} <= set(range(max(old, new)))
+
+
+def test_the_smallest_rows_of_a_block_move(spark):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(112, 239)) for i in range(2000)]  # sizes of one class
+    sides = defaultdict(lambda: ([], []))
+    for r in R.reshard(documents(spark, rows), old_shards=4, shards=6, block_rows=100).collect():
+        sides[r.old_shard][r.shard != r.old_shard].append(r.size)
+    for stay, move in sides.values():
+        assert not stay or not move or max(move) <= min(stay) + 1

@@ -6,10 +6,15 @@ fall into blocks by the power of two of their size.  A minimum-cost flow from
 the blocks to the new shards' capacities, where a row that stays costs nothing
 and one that moves costs its block's mean size, decides how many rows of each
 block go where; so the fewest bytes move, up to the blocks' resolution.  A
-row's rank in its block then gives its shard and its slot there.
+row's rank in its block, the largest first, then gives its shard and its slot
+there: the largest stay, the smallest move.
 
 Only counts come to the driver: at most (old shards x size classes) of them.
-Ranks are running counts over sub-blocks, each small enough for one task.
+Ranks are running counts over sub-blocks, each small enough for one task: the
+256 sizes (or ranges of sizes) of a class, each dealt by hash.
+
+Rows of equal texts go wherever the flow has room for them: law ``rows`` allows
+no shard two rows more than another, so a group of copies can't stay together.
 
 Edge cases: a null text has size 16 and the CRC of nothing; null ids lie in one
 old shard; rows that are equal in all of id, size and CRC share a sub-block, in
@@ -28,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from walkweave.spark import remove
+
 
 class Flow:
     """A minimum-cost flow by successive shortest paths with potentials."""
@@ -159,8 +166,8 @@ def reshard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old
         F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int").alias("old_shard"),
         F.floor(F.log2("size")).cast("int").alias("class"),
         F.pmod(F.xxhash64("size", "text_crc32", "doc_id"), F.lit(parts)).cast("int").alias("part"),
-    )
-    key = ["old_shard", "class", "part"]
+    ).withColumn("step", F.floor(F.col("size") * 256 / F.pow(F.lit(2.0), "class")).cast("int"))
+    key = ["old_shard", "class", "step", "part"]
     counts = base.groupBy(*key).agg(F.count("size").alias("n"), F.sum("size").alias("bytes"))
     totals = counts.groupBy("old_shard", "class").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()
     plan, _ = transfers({(r["old_shard"], r["class"]): (r["n"], r["bytes"]) for r in totals}, shards)
@@ -175,10 +182,10 @@ def reshard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old
         ranges.append((old, size_class, found))
     spark = docs.sparkSession
     dealt = spark.createDataFrame(ranges, "old_shard int, class int, ranges array<struct<lo: bigint, hi: bigint, shard: int, first: bigint>>")
-    before = F.sum("n").over(Window.partitionBy("old_shard", "class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    # One row for each sub-block: at most old shards x size classes x most_parts.
+    before = F.sum("n").over(Window.partitionBy("old_shard", "class").orderBy(F.desc("step"), "part").rowsBetween(Window.unboundedPreceding, -1))
+    # One row for each sub-block: at most old shards x size classes x 256 x most_parts.
     starts = counts.withColumn("start", F.coalesce(before, F.lit(0))).join(F.broadcast(dealt), ["old_shard", "class"]).select(*key, "start", "ranges")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "text_crc32", "doc_id")) - 1
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("size"), "text_crc32", "doc_id")) - 1
     placed = base.withColumn("rank", rank).join(starts, key).withColumn("rank", F.col("rank") + F.col("start"))
     placed = placed.withColumn("to", F.filter("ranges", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0])
     return placed.select(
@@ -199,18 +206,31 @@ def affected_shards(placed: DataFrame) -> DataFrame:
     return moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the files of affected shards, rows by slot, below ``path``; ids must be unique.
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the files of affected shards, rows by slot, below ``path``.
 
-    Files of other shards stay as they are; those of affected shards that get no
-    rows go once the others are written.
+    Rows meet their places by id (null ids too), size and CRC of the text, and
+    by a running number where rows share all of these: any of them may have any
+    of their places.  Columns ``shard`` and ``slot`` of the input are written as
+    ``own_shard`` and ``own_slot``.  Files of other shards stay as they are;
+    those of affected shards that get no rows go once the others are written.
     """
-    emptied = [r.shard for r in affected_shards(placed).join(placed.select("shard").distinct(), "shard", "left_anti").collect()]
-    place = placed.join(F.broadcast(affected_shards(placed)), "shard").select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows = docs.join(place, F.col(f"`{id_col}`") == F.col("__id")).drop("__id")
-    rows = rows.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
-    rows.withColumnsRenamed({"__shard": "shard", "__slot": "slot"}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    folder = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(docs.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    affected = affected_shards(placed)
+    emptied = [r.shard for r in affected.join(placed.select("shard").distinct(), "shard", "left_anti").collect()]  # at most all shards
+    same = ["__id", "__size", "__crc"]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    place = placed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    named = docs.withColumnsRenamed({c: f"own_{c}" for c in ("shard", "slot")})
+    rows = named.withColumns({"__id": F.col(f"`{id_col}`").cast("bigint"), "__size": (F.octet_length(text) + 16).cast("bigint"), "__crc": F.crc32(text)})
+    if not placed.groupBy("doc_id", "size", "text_crc32").count().where("count > 1").isEmpty():
+        place, rows = place.withColumn("__n", number), rows.withColumn("__n", number)
+        same = [*same, "__n"]
+    place = place.join(F.broadcast(affected.withColumnRenamed("shard", "__shard")), "__shard")
+    place = place.withColumnsRenamed({c: f"{c}2" for c in same})
+    met = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in same]
+    found = rows.join(place, met).drop("__id", "__size", "__crc", "__n", *[f"{c}2" for c in same])
+    found = found.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    found.withColumnsRenamed({"__shard": "shard", "__slot": "slot"}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for shard in emptied:
-        store.delete(folder.suffix(f"/shard={shard}"), True)
+        remove(docs.sparkSession, f"{path}/shard={shard}")
