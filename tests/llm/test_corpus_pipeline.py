@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from test_shingles import kept_by_brute_force
 
 import corpus_pipeline
 
@@ -9,8 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 def test_stages_one_by_one(spark):
-    """Each stage's decisions, against what the operators say of its input."""
-    from walkweave.llm import decontaminate, langid, secrets, simhash
+    """Each stage's decisions, against what the operators say of its input; near-duplicates against all pairs of texts."""
+    from walkweave.llm import decontaminate, langid, secrets
     from walkweave.llm.common import stored, table
 
     docs = table(spark, SF, "documents")
@@ -23,7 +24,7 @@ def test_stages_one_by_one(spark):
         if name.startswith("language"):
             assert kept == {r.doc_id for r in langid.identify(docs).where("lang_pred <> 'und' AND score >= 0.4").collect()}
         elif name.startswith("near"):
-            assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+            assert kept == kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
         elif name.startswith("benchmark"):
             assert kept == before - {r.doc_id for r in decontaminate.find_contamination(docs, table(spark, SF, "benchmark")).where("contaminated").collect()}
         elif name.startswith("secret"):
@@ -35,3 +36,18 @@ def test_stages_one_by_one(spark):
             assert out.columns == columns
         docs = out
     assert corpus_pipeline.run(spark, SF).count() == seen[-1] > 0
+
+
+def test_stages_stand_odd_rows(spark):
+    """Nulls, empty and long texts, copies and an empty table go through all stages; other columns stay as they are."""
+    from llm_cases import DOCS, documents
+
+    from walkweave.llm.common import stored
+
+    for rows in ([*DOCS, DOCS[4], (None, DOCS[9][1]), (None, None)], []):
+        docs = documents(spark, rows).selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS bigint) AS n_chars", "key")
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stored(stage(spark, docs, SF))
+            assert out.columns == docs.columns and out.count() <= docs.count()
+            docs = out
+        assert corpus_pipeline.tokens(spark, docs, SF).count() == docs.count()
