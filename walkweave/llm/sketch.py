@@ -125,7 +125,9 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.nd
     sent = df.mapInArrow(parts, schema).repartition("row", "shard").sortWithinPartitions("row", "shard")
     planes = [np.zeros(1 << max(0, bits - 3), np.uint8) for _ in range(lanes)]
     step = 1 << (shard_bits - 3)
-    for row, shard, data in sent.mapInArrow(merged, schema).collect():  # so many bytes as the sketch has
+    found = sent.mapInArrow(merged, schema).collect()  # so many bytes as the sketch has
+    while found:  # what is in its plane is given up at once
+        row, shard, data = found.pop()
         planes[row][shard * step : (shard + 1) * step] = np.frombuffer(data, np.uint8)
     return Sketch(bits, planes)
 

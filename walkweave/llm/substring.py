@@ -46,7 +46,7 @@ def _first_places(a: np.ndarray) -> np.ndarray:
     return np.unique(a, return_index=True)[1]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_bits: int = 29, broadcast_rows: int = 2_000_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_bits: int = 30, broadcast_rows: int = 2_000_000) -> DataFrame:
     """What stays of each document: ``doc_id, n_words, n_removed, kept_sha256``.
 
     ``most_bits`` bounds a round's sketch (two rows of ``2 ** most_bits`` bits are
