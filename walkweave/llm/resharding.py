@@ -11,7 +11,7 @@ there: the largest stay, the smallest move.
 
 Only counts come to the driver: at most (old shards x size classes) of them.
 Ranks are running counts over sub-blocks, each small enough for one task: the
-256 sizes (or ranges of sizes) of a class, each dealt by hash.
+32 ranges of sizes of a class, each dealt by hash.
 
 Rows of equal texts go wherever the flow has room for them: law ``rows`` allows
 no shard two rows more than another, so a group of copies can't stay together.
@@ -160,13 +160,13 @@ def reshard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = docs.count()
-    parts = max(1, min(most_parts, math.ceil(rows / block_rows)))
+    parts = max(1, min(most_parts, math.ceil(rows / (block_rows * old_shards))))
     base = base.select(
         "*",
         F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int").alias("old_shard"),
         F.floor(F.log2("size")).cast("int").alias("class"),
         F.pmod(F.xxhash64("size", "text_crc32", "doc_id"), F.lit(parts)).cast("int").alias("part"),
-    ).withColumn("step", F.floor(F.col("size") * 256 / F.pow(F.lit(2.0), "class")).cast("int"))
+    ).withColumn("step", F.floor(F.col("size") * 32 / F.pow(F.lit(2.0), "class")).cast("int"))
     key = ["old_shard", "class", "step", "part"]
     counts = base.groupBy(*key).agg(F.count("size").alias("n"), F.sum("size").alias("bytes"))
     totals = counts.groupBy("old_shard", "class").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()
@@ -183,7 +183,7 @@ def reshard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old
     spark = docs.sparkSession
     dealt = spark.createDataFrame(ranges, "old_shard int, class int, ranges array<struct<lo: bigint, hi: bigint, shard: int, first: bigint>>")
     before = F.sum("n").over(Window.partitionBy("old_shard", "class").orderBy(F.desc("step"), "part").rowsBetween(Window.unboundedPreceding, -1))
-    # One row for each sub-block: at most old shards x size classes x 256 x most_parts.
+    # One row for each sub-block: at most old shards x size classes x 32 x most_parts.
     starts = counts.withColumn("start", F.coalesce(before, F.lit(0))).join(F.broadcast(dealt), ["old_shard", "class"]).select(*key, "start", "ranges")
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("size"), "text_crc32", "doc_id")) - 1
     placed = base.withColumn("rank", rank).join(starts, key).withColumn("rank", F.col("rank") + F.col("start"))
