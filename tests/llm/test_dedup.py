@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import DOCS, documents, words
 
-from walkweave.llm import simhash, sketch, substring, suffix
+from walkweave.llm import doubling, simhash, sketch, substring, suffix
 from walkweave.llm.components import components
 from walkweave.llm.sketch import Sketch, build
 from walkweave.llm.spans import joined_runs
@@ -127,6 +127,12 @@ def test_bytes_of_other_lengths_and_pieces(spark, monkeypatch):
         assert (last >= first).all() and (anchor >= last - 50).all() and (last + 50 <= len(data)).all()
 
 
+def test_bytes_by_doubling_over_all_positions(spark):
+    for length, rows in [(200, DOCS), (7, [(1, "abcabcabcabd" * 30), (2, "xyz" + "abcabc" * 9), (2, "xyz" + "abcabc" * 9), (None, "abcdefgh" * 3), (5, None), (6, "")])]:
+        assert Counter(map(tuple, doubling.dedup(documents(spark, rows), length=length).collect())) == brute_bytes(rows, length)
+    assert not doubling.dedup(documents(spark, [])).collect()
+
+
 @settings(max_examples=50, deadline=None)
 @given(data=st.binary(max_size=80), length=st.integers(1, 20))
 def test_names_stand_for_windows(data, length):

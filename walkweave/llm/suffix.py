@@ -127,6 +127,24 @@ def _repeats(strings: list[bytes], groups: np.ndarray, length: int) -> tuple[np.
     return number, at - (np.cumsum(sizes) - sizes)[number], a, b, again, first
 
 
+def what_stays(batch: pa.RecordBatch) -> list:
+    """Columns of the result, from keys, ids, texts and lists of the spans' starts and ends."""
+    sizes, removed, counts, digests = [], [], [], []
+    for data, p1, p2 in zip(byte_values(batch.column(2)), batch.column(3), batch.column(4)):
+        data, kept, starts = data or b"", data or b"", ()
+        if p1.is_valid:
+            starts, ends = (x.tolist() for x in joined_runs(p1.values.to_numpy(), p2.values.to_numpy()))
+            kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
+        sizes.append(len(data))
+        removed.append(len(data) - len(kept))
+        counts.append(len(starts))
+        digests.append(sha(kept))
+    return [batch.column(1).to_pylist(), sizes, removed, counts, digests]
+
+
+FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, most_bits: int = 29, group: int = 1024) -> DataFrame:
     """What stays of each text: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
@@ -242,18 +260,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     spans = reduce(DataFrame.union, map(spans_of, range(rounds)))
 
-    def step(batch: pa.RecordBatch):
-        sizes, removed, counts, digests = [], [], [], []
-        for data, p1, p2 in zip(byte_values(batch.column(2)), batch.column(3), batch.column(4)):
-            data, kept, starts = data or b"", data or b"", ()
-            if p1.is_valid:
-                starts, ends = (x.tolist() for x in joined_runs(p1.values.to_numpy(), p2.values.to_numpy()))
-                kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
-            sizes.append(len(data))
-            removed.append(len(data) - len(kept))
-            counts.append(len(starts))
-            digests.append(sha(kept))
-        return [batch.column(1).to_pylist(), sizes, removed, counts, digests]
-
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    return finish(base, spans, fields, step)
+    return finish(base, spans, FIELDS, what_stays)
