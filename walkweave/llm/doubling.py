@@ -4,7 +4,7 @@ Each position starts with the rank of its first bytes (up to 8, which are their
 rank).  A round sorts the pairs (rank, rank at an offset) and ranks them anew, so
 that ranks stand for strings of twice the length; positions whose pair is unique
 leave, as no longer string from there repeats.  The last offset is cut so that
-ranks end at the length looked for.  Nothing is hashed, and no task or driver
+ranks end at the length looked for.  Ranks are no hashes, and no task or driver
 holds more than its share of the positions.
 
 It gives the rows of ``suffix.dedup`` and moves each repeating position several
