@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, checkpointed
 
 _SHARD_BITS = 22
 
@@ -123,11 +123,10 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.nd
 
     schema = "row int, shard int, data binary"
     sent = df.mapInArrow(parts, schema).repartition("row", "shard").sortWithinPartitions("row", "shard")
+    ready = checkpointed(sent.mapInArrow(merged, schema))  # so many bytes as the sketch has
     planes = [np.zeros(1 << max(0, bits - 3), np.uint8) for _ in range(lanes)]
     step = 1 << (shard_bits - 3)
-    found = sent.mapInArrow(merged, schema).collect()  # so many bytes as the sketch has
-    while found:  # what is in its plane is given up at once
-        row, shard, data = found.pop()
+    for row, shard, data in ready.toLocalIterator():  # the driver holds one partition beside the planes
         planes[row][shard * step : (shard + 1) * step] = np.frombuffer(data, np.uint8)
     return Sketch(bits, planes)
 
