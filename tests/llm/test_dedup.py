@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -79,6 +80,46 @@ def test_windows_in_rounds(spark):
     assert Counter(map(tuple, got)) == brute_windows(rows)
 
 
+@pytest.mark.parametrize("size", [300, 20_000, 8 << 20])
+@pytest.mark.parametrize("rows", [DOCS + EXTRA, [], [(None, "x")], [(i, words(7, 60)) for i in (3, 1, 2)] + [(i, words(8, 40) + " " + words(50 + i, 400)) for i in range(4, 9)]])
+def test_windows_with_a_sketch_that_stays_in_its_shards(spark, rows, size):
+    got = substring.dedup(documents(spark, rows), most_bits=4, chunk_bytes=size).collect()
+    assert Counter(map(tuple, got)) == brute_windows(rows)
+
+
+def test_windows_are_read_equally_often_at_every_size(spark):
+    """However many times too large the sketch is to be broadcast, there are equally many jobs."""
+    context, frame = spark.sparkContext, documents(spark, DOCS)
+    jobs = []
+    for bits in (12, 13, 14):
+        context.setJobGroup(f"windows {bits}", "")
+        substring.dedup(frame, most_bits=bits).collect()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"windows {bits}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sketch.rounds_for(2 * sum(len((t or "").encode()) for _, t in DOCS) // 11, 14) > 1
+    assert max(jobs) - min(jobs) <= 8 and min(jobs) > 0
+
+
+def test_shards_let_few_unique_windows_through(spark):
+    rows = [(i, words(5000 + i, 2000)) for i in range(100)] + [(900 + i, words(9000, 400) + " " + words(9100 + i, 1500)) for i in range(3)]
+    texts = {i: substring._names(t.encode().split(), 13) for i, t in rows}
+    chunks = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in rows], "chunk bigint, data binary").repartition(4)
+    bits = sketch.bits_for(sum(len(a) for a, _ in texts.values()), 48, 8)
+
+    def lanes(data):
+        return substring._names(bytes(data).split(), 13)
+
+    def find(data, own):
+        a, b = lanes(data)
+        yield pa.RecordBatch.from_pydict({"a": a[own.holds(a, b)].view(np.int64)})
+
+    made = sketch.repeated_cells(chunks, lanes, bits)
+    got = Counter(r.a for r in sketch.found_in_chunks(chunks, made, bits, find, "a bigint").collect())
+    seen = Counter(x for a, _ in texts.values() for x in a.view(np.int64).tolist())
+    assert {x: n for x, n in seen.items() if n > 1}.items() <= got.items()
+    assert sum(seen[x] == 1 for x in got) < 0.03 * len(seen)
+
+
 def test_bytes_in_rounds(spark):
     rows = DOCS + EXTRA
     assert 1 < sketch.rounds_for(2 * sum(len((t or "").encode()) for _, t in rows) // 100, 11) < 6

@@ -5,7 +5,10 @@ each range of cells (a shard), the sorted cell numbers that its hashes fall into
 packed as differences; for each shard the tasks' parts are merged, and only the
 bit "at least ``least``" of each cell goes to the driver.  The sketch's size is
 set by ``bits`` alone.  Where data have more hashes than that has room for, they
-are dealt by :func:`turn_of` into rounds, with a sketch each.
+are dealt by :func:`turn_of` into rounds, with a sketch each, or the sketch stays
+in its shards: :func:`repeated_cells` sends each chunk of the data back those of
+its own cells that are hit again anywhere, and :func:`found_in_chunks` looks its
+hashes up in a small sketch of these.  Nothing then is as large as the data.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpointed
 
 _SHARD_BITS = 22
+_CHUNK_BITS = 24
 
 
 def bits_for(hashes: int, most: int, cells_each: int = 4) -> int:
@@ -131,6 +136,100 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.nd
     return Sketch(bits, planes)
 
 
+def _shard_bits(bits: int) -> int:
+    """Wider shards for wide sketches, so that a chunk's parts don't become too small."""
+    return min(bits, max(_SHARD_BITS, min(25, bits - 9)))
+
+
+def repeated_cells(chunks: DataFrame, hashes: Callable[[bytes], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+    """``chunk, row, shard, data``: of each chunk's cells, those that all hashes together hit at least twice.
+
+    ``chunks`` has the columns ``chunk, data``; the function returns the two lanes
+    of a chunk's hashes.  A chunk sends a cell twice at most, so a shard gets no
+    more than that from it however frequent a hash is.
+    """
+    bounded_batches(chunks.sparkSession)
+    shard_bits = _shard_bits(bits)
+    names = ["chunk", "row", "shard", "data"]
+    kinds = pa.int64(), pa.int32(), pa.int32(), pa.binary()
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = []
+                for row, lane in enumerate(hashes(data.as_buffer())):
+                    cells = np.sort(lane >> np.uint64(64 - bits))
+                    cells = cells[np.concatenate((np.ones(min(2, len(cells)), bool), cells[2:] != cells[:-2]))]
+                    shard = (cells >> np.uint64(shard_bits)).astype(np.int64)
+                    cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(cells)]))
+                    low = (cells & np.uint64((1 << shard_bits) - 1)).astype(np.uint32)
+                    rows += [(chunk, row, int(shard[a]), _pack(low[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if a < b]
+                if rows:
+                    yield batch_of(rows)
+
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            once, twice = np.zeros(1 << shard_bits, bool), np.zeros(1 << shard_bits, bool)
+            for _, cells in held:
+                twice[cells[1:][cells[1:] == cells[:-1]]] = True
+                twice[cells] |= once[cells]
+                once[cells] = True
+            rows = []
+            for chunk, cells in held:
+                again = np.unique(cells[twice[cells]])
+                if len(again):
+                    rows.append((chunk, *at, _pack(again)))
+                if len(rows) == 1000:
+                    yield batch_of(rows)
+                    rows = []
+            held.clear()
+            if rows:
+                yield batch_of(rows)
+
+        for batch in batches:
+            for chunk, row, shard, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (row, shard):
+                    if held:
+                        yield from answers()
+                    at = (row, shard)
+                held.append((chunk, _unpack(data).astype(np.uint32)))
+        if held:
+            yield from answers()
+
+    schema = "chunk bigint, row int, shard int, data binary"
+    return chunks.mapInArrow(parts, schema).repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(returned, schema)
+
+
+def found_in_chunks(chunks: DataFrame, cells: DataFrame, bits: int, find: Callable[[bytes, Sketch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What the function finds in each chunk, given a sketch that holds all of its hashes whose cells are in ``cells``.
+
+    Of the chunk's other hashes the sketch holds few: it has some ten cells for each hash.
+    """
+    shard_bits, own_bits, lanes = _shard_bits(bits), min(bits, _CHUNK_BITS), 2
+    last = chunks.select("chunk", F.lit(lanes).alias("row"), F.lit(0).alias("shard"), "data")
+    rows = cells.union(last).repartition(max(1, chunks.count()), "chunk").sortWithinPartitions("chunk", "row", "shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            for row, shard, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if planes is None:
+                    planes = [np.zeros(1 << own_bits, bool) for _ in range(lanes)]
+                if row < lanes:
+                    planes[row][(_unpack(data.as_py()) | shard << shard_bits) >> (bits - own_bits)] = True
+                else:
+                    sketch = Sketch(own_bits, [np.packbits(p, bitorder="little") for p in planes])
+                    planes = None
+                    yield from find(data.as_buffer(), sketch)
+
+    return rows.mapInArrow(run, schema)
+
+
 def of_column(df: DataFrame, names: list[str], bits: int) -> Sketch:
     """The sketch that holds all values of bigint columns, one a lane, which are hashes already."""
 

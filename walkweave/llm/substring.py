@@ -8,9 +8,10 @@ no part: all their windows start in the smallest document of the copies.
 
 A sketch has about four cells in each of two rows for every window, so that about
 one unique window in twenty gets through.  Where that is more than
-``2 ** most_bits`` cells, the windows are dealt by hash into so many rounds that
-each round's sketch has room for its own; the rounds are independent of each
-other, and each reads the texts again.
+``2 ** most_bits`` cells, the sketch, then with eight cells, is not broadcast:
+the texts are stored as chunks, each chunk's cells go to the sketch's shards, and
+the shards send back which of them are hit again.  So the texts are read and
+hashed equally often at every size, and no task, nor the driver, holds the sketch.
 
 Names of windows, and of whole copies, are 128-bit hashes.  Of n different ones
 two are alike with a chance of n * n / 2 ** 129: 4e-13 for the windows of 100 TB.
@@ -23,15 +24,15 @@ an empty table gives an empty one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, checkpointed, sha, stored
-from .sketch import bits_for, build, of_column, rounds_for, turn_of
+from .common import bounded_batches, byte_values, checkpointed, sha, stored
+from .sketch import bits_for, build, found_in_chunks, of_column, repeated_cells, rounds_for
 from .spans import finish, has_repeated_ids, joined_runs, row_key
 from .windows import window_names, word_symbols
 
@@ -46,11 +47,46 @@ def _first_places(a: np.ndarray) -> np.ndarray:
     return np.unique(a, return_index=True)[1]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_bits: int = 30, broadcast_rows: int = 2_000_000) -> DataFrame:
+def _chunked(chunk_bytes: int):
+    """Rows ``chunk, data``: texts of about so many bytes together, with keys and ids, compressed.  Copies are left out."""
+
+    def run(batches):
+        held, size, at = [], 0, TaskContext.get().partitionId() << 32
+
+        def row():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            whole = pc.and_(pc.and_(batch.column(0).is_valid(), batch.column(2).is_valid()), batch.column(3).is_null())
+            batch = batch.filter(whole)
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                stop = min(batch.num_rows, int(np.searchsorted(ends, before + chunk_bytes - size)) + 1)
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - before
+                start = stop
+                if size >= chunk_bytes:
+                    yield row()
+                    size, at = 0, at + 1
+        if held:
+            yield row()
+
+    return run
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_bits: int = 30, broadcast_rows: int = 2_000_000, chunk_bytes: int = 8 << 20) -> DataFrame:
     """What stays of each document: ``doc_id, n_words, n_removed, kept_sha256``.
 
-    ``most_bits`` bounds a round's sketch (two rows of ``2 ** most_bits`` bits are
-    broadcast); ``broadcast_rows`` bounds the list of whole copies that is
+    ``most_bits`` bounds a sketch that is broadcast (two rows of ``2 ** most_bits``
+    bits), and larger ones stay in their shards, where ``chunk_bytes`` of text ask
+    them at once; ``broadcast_rows`` bounds the list of whole copies that is
     broadcast instead of joined by a shuffle.
     """
     text = F.col(f"`{text_col}`").cast("string")
@@ -75,62 +111,70 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                     yield i, words
 
     about = 2 * (size[0] or 0) // 11  # windows, as words and the spaces behind them have five or six bytes in most languages
-    rounds = rounds_for(about, most_bits)
     context = docs.sparkSession.sparkContext
 
-    def hashes_of(turn: int):
-        def hashes(batch: pa.RecordBatch):
-            for _, words in sequences(batch):
+    def hashes(batch: pa.RecordBatch):
+        for _, words in sequences(batch):
+            a, b = _names(words, width)
+            at = _first_places(a)
+            yield a[at], b[at]
+
+    def held_by(sketch, batches, once: bool):
+        """The windows that a sketch holds, as rows; with ``once``, those of a document that are alike as one, without places."""
+        for batch in batches:
+            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts: list[tuple] = []
+
+            def rows():
+                a, b, at, own, key_of = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()
+                columns = {"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": own}
+                return pa.RecordBatch.from_pydict(columns if once else columns | {"at": at} | ({"key": key_of} if keyed else {}))
+
+            held = 0
+            for i, words in sequences(batch):
                 a, b = _names(words, width)
-                at = _first_places(a)
-                at = at[turn_of(a[at], rounds) == turn]
-                yield a[at], b[at]
-
-        return hashes
+                at = np.flatnonzero(sketch.holds(a, b))
+                if once and len(at):
+                    at = at[_first_places(a[at])]
+                if len(at):
+                    parts.append((a[at], b[at], at.astype(np.int32), np.full(len(at), ids[i]), np.full(len(at), keys[i])))
+                    held += len(at)
+                if held > 200_000:
+                    yield rows()
+                    held = 0
+            if parts:
+                yield rows()
 
-    def windows(turn: int, chosen, once: bool):
+    def windows(chosen, once: bool):
         def run(batches):
-            for batch in batches:
-                keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                parts: list[tuple] = []
-
-                def rows():
-                    a, b, at, own, key_of = (np.concatenate(x) for x in zip(*parts))
-                    parts.clear()
-                    columns = {"a": a.view(np.int64), "b": b.view(np.int64), "doc_id": own}
-                    return pa.RecordBatch.from_pydict(columns if once else columns | {"at": at} | ({"key": key_of} if keyed else {}))
-
-                held = 0
-                for i, words in sequences(batch):
-                    a, b = _names(words, width)
-                    at = np.flatnonzero(chosen.value.holds(a, b) & (turn_of(a, rounds) == turn))
-                    if once and len(at):
-                        at = at[_first_places(a[at])]
-                    if len(at):
-                        parts.append((a[at], b[at], at.astype(np.int32), np.full(len(at), ids[i]), np.full(len(at), keys[i])))
-                        held += len(at)
-                    if held > 200_000:
-                        yield rows()
-                        held = 0
-                if parts:
-                    yield rows()
+            yield from held_by(chosen.value, batches, once)
 
         return run
 
-    def hits_of(turn: int) -> DataFrame:
-        shared = context.broadcast(build(marked, hashes_of(turn), bits_for(about, most_bits)))
-        seen = marked.mapInArrow(windows(turn, shared, True), "a bigint, b bigint, doc_id bigint")
-        repeated = stored(seen.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n"))
+    def of_chunk(data):
+        found = [x for batch in pa.ipc.open_stream(data) for x in hashes(batch)]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64),) * 2
+
+    def in_chunk(data, sketch):
+        yield from held_by(sketch, pa.ipc.open_stream(data), True)
+
+    schema = "a bigint, b bigint, doc_id bigint"
+    shared = None
+    if rounds_for(about, most_bits) == 1:
+        shared = context.broadcast(build(marked, hashes, bits_for(about, most_bits)))
+        seen = marked.mapInArrow(windows(shared, True), schema)
+    else:
+        bounded_batches(docs.sparkSession)
+        chunks = stored(marked.mapInArrow(_chunked(chunk_bytes), "chunk bigint, data binary"))
+        bits = bits_for(about, 48, 8)
+        seen = found_in_chunks(chunks, repeated_cells(chunks, of_chunk, bits), bits, in_chunk, schema)
+    repeated = stored(seen.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n"))
+    if shared:
         shared.destroy()  # what was computed with it is stored
-        exact = context.broadcast(of_column(repeated, ["a", "b"], bits_for(repeated.count(), most_bits, 8)))
-        placed = marked.mapInArrow(windows(turn, exact, False), "a bigint, b bigint, doc_id bigint, at int" + ", key bigint" * keyed)
-        hits = placed.join(repeated, ["a", "b"]).where("doc_id > first").select(F.col("key" if keyed else "doc_id").alias("key"), F.col("at").alias("p1"), (F.col("at") + width).alias("p2"))
-        if rounds > 1:
-            hits = stored(hits)
-            exact.destroy()
-        return hits
-
-    hits = reduce(DataFrame.union, map(hits_of, range(rounds)))
+    exact = context.broadcast(of_column(repeated, ["a", "b"], bits_for(repeated.count(), most_bits, 8)))
+    placed = marked.mapInArrow(windows(exact, False), schema + ", at int" + ", key bigint" * keyed)
+    hits = placed.join(repeated, ["a", "b"]).where("doc_id > first").select(F.col("key" if keyed else "doc_id").alias("key"), F.col("at").alias("p1"), (F.col("at") + width).alias("p2"))
 
     def step(batch: pa.RecordBatch):
         counts, removed, digests = [], [], []
