@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose five-word shingles are alike to 0.8 or more are one group."""
+    """Texts whose five-word shingles are alike to 0.8 or more are one group: SimHash and bands find them, an exact check follows."""
     return shingles.keep_one(docs)
 
 

@@ -1,9 +1,13 @@
-"""Near-duplicates by the similarity of word shingles: minhash bands bring texts together, their whole shingle sets decide.
+"""Near-duplicates by the similarity of word shingles: SimHash and minhash bands bring texts together, whole shingle sets decide.
 
 Two texts are linked if their sets of shingles of ``size`` words (A-Z
 lower-cased) have a Jaccard similarity of ``least`` or more; links make groups.
-A text has ``bands`` keys of ``rows`` minima each, and texts that share a key
-are candidates: two texts of similarity s share none with probability
+Candidates come from two steps.  SimHash: texts whose fingerprints (of their sets
+of shingles) differ in at most ``distance`` bits, by pigeonhole blocks and Hamming
+verification; none within that distance is lost, but two texts of similarity 0.8
+differ in about 10 bits of 64, which blocks can't reach.  So bands widen these: a
+text has ``bands`` keys of ``rows`` minima each, and texts that share a key are
+candidates too; two texts of similarity s share none with probability
 (1 - s^rows)^bands, which is 1e-4 at 0.8 and under 1e-9 at 0.9.  Candidates are
 compared exactly, within their component; a component with many texts is dealt
 out as pairs of chunks, each giving a spanning forest of its links.
@@ -20,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import byte_values, checkpointed, map_rows, stored
 from .components import components
 
@@ -57,19 +62,29 @@ def _keyed(docs: DataFrame, text_col: str, size: int, bands: int, rows: int) ->
         factors = _factors(bands * rows)
 
         def step(batch: pa.RecordBatch):
-            yield [
-                batch.column(0).to_pylist(),
-                batch.column(1).to_pylist(),
-                [band_keys(shingles(x, size), factors, bands) for x in byte_values(batch.column(2))],
-            ]
+            prints, keys = [], []
+            for x in byte_values(batch.column(2)):
+                found = shingles(x, size)
+                prints.append(simhash._signed(simhash.majority(found)))
+                keys.append(band_keys(found, factors, bands))
+            yield [batch.column(0).to_pylist(), batch.column(1).to_pylist(), prints, keys]
 
         return step
 
     text = F.col(f"`{text_col}`").cast("string")
-    fields = [("doc_id", pa.int64()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))]
+    fields = [("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))]
     return map_rows(docs.select(F.col("__id").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")), fields, make)
 
 
+def close_prints(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``a, b``: links among texts (by hash) that connect all whose fingerprints lie within ``distance`` bits of each other."""
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("h").alias("first")))
+    ends = [nodes.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")) for end in ("a", "b")]
+    apart = simhash.links(nodes.select("fp"), distance, blocks).join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = prints.join(nodes, "fp").where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
+    return equal.union(apart)
+
+
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links between ``sets[left]`` and ``sets[right]`` that join what the similar pairs among them join."""
     parent = list(range(len(sets)))
@@ -145,7 +160,7 @@ def links(docs: DataFrame, candidates: DataFrame, text_col: str, size: int, leas
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bands: int = 50, rows: int = 8, chunk: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, distance: int = 3, blocks: int = 5, bands: int = 50, rows: int = 8, chunk: int = 512) -> DataFrame:
     """One row of each group, that of the smallest id, with all its columns.
 
     Of rows that share this id the one whose text has the smallest hash stays,
@@ -155,7 +170,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     prints = stored(_keyed(named, text_col, size, bands, rows))
     keyed = prints.select("h", F.explode("keys").alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first < last").select("key", "first")
-    candidates = checkpointed(components(keyed.join(firsts, "key").select(F.col("h").alias("a"), F.col("first").alias("b"))))
+    banded = keyed.join(firsts, "key").select(F.col("h").alias("a"), F.col("first").alias("b"))
+    candidates = checkpointed(components(close_prints(prints.select("h", "fp"), distance, blocks).union(banded)))
     roots = components(links(docs, candidates, text_col, size, least, chunk)).select(F.col("node").alias("h"), "root")
     placed = prints.select("doc_id", "h").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))

@@ -29,6 +29,15 @@ from .components import components
 _hash = xxhash.xxh64_intdigest
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(data: bytes | None, size: int = 3, seed: int = 42) -> int:
     """The fingerprint of a text's shingles of ``size`` words (A-Z lower-cased), as an unsigned number."""
     words = data.lower().split() if data else []
@@ -41,11 +50,7 @@ def fingerprint(data: bytes | None, size: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [_hash(line[a:b], seed) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def _signed(x: int) -> int:
