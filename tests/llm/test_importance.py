@@ -1,0 +1,98 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_cases import DOCS, PASSAGE, documents, words
+from pyspark.sql import functions as F
+
+from walkweave.llm import importance
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plainly(docs, target, percent=10, grams=1, buckets=10_000, least_words=20, seed=2024):
+    """The definition, text by text."""
+
+    def features(text):
+        w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, grams + 1) for i in range(len(w) - n + 1)]
+
+    made = [(i, *features(t)) for i, t in docs]
+    s, t = Counter(b for _, _, f in made for b in f), Counter(b for x in target for b in features(x)[1])
+    every_s, every_t = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = [math.floor(1000 * math.log((t[b] + 1) * every_s / ((s[b] + 1) * every_t))) for b in range(buckets)]
+    rows = []
+    for i, n, f in made:
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    order = sorted((-r[4], r[0] is None, r[0] or 0, k) for k, r in enumerate(rows) if r[1] >= least_words)
+    draw = percent * len(order) // 100
+    rank = {k: place + 1 for place, (*_, k) in enumerate(order[:draw])}
+    return [(i, n, w, score, rank.get(k)) for k, (i, _, n, w, score) in enumerate(rows)]
+
+
+def in_order(rows):
+    return sorted(map(tuple, rows), key=lambda r: [(x is None, x or 0) for x in r])
+
+
+MORE = DOCS + [(100 + i, words(300 + i, 15 + i) + (" " + PASSAGE[: 40 * (i % 5)])) for i in range(60)]
+
+
+@pytest.mark.parametrize("grams, buckets, percent, least", [(1, 10_000, 10, 20), (2, 97, 50, 0), (3, 1 << 16, 100, 5), (1, 1, 0, 0)])
+def test_rows_are_those_of_the_definition(spark, grams, buckets, percent, least):
+    target = [PASSAGE, None, "", "Émile plain words"]
+    wanted = spark.createDataFrame([(t, 1) for t in target], "text string, ids int")
+    got = importance.resample(documents(spark, MORE), wanted, percent, grams, buckets, least)
+    assert in_order(got.collect()) == in_order(plainly(MORE, target, percent, grams, buckets, least))
+
+
+def test_odd_tables(spark):
+    nothing = spark.createDataFrame([], "text string")
+    assert importance.resample(documents(spark, []), nothing).count() == 0
+    assert in_order(importance.resample(documents(spark, MORE), nothing).collect()) == in_order(plainly(MORE, []))
+    # Equal ids and texts, null ids: each row has a rank of its own.
+    rows = [(7, words(1, 30))] * 40 + [(None, words(2, 25))] * 40
+    got = importance.resample(documents(spark, rows), documents(spark), percent=60).collect()
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 49))
+    assert in_order(got) == in_order(plainly(rows, [t for _, t in DOCS], percent=60))
+
+
+def test_small_blocks_make_the_same_streams(spark):
+    small, large = (importance.packed(documents(spark, MORE).repartition(1), 2, 500, block=n) for n in (10, 1 << 20))
+    assert small.count() > 20 and large.count() == 1
+    of = {}
+    for name, blocks in (("small", small), ("large", large)):
+        of[name] = {}
+        for r in blocks.collect():
+            stream = np.frombuffer(r.stream, "<u2")
+            for i, a, b in zip(r.ids, r.offsets, r.offsets[1:]):
+                of[name][i] = stream[a:b].tolist()
+        assert {r.bucket: r.n for r in importance.counted(blocks).collect()} == Counter(b for f in of[name].values() for b in f)
+    assert of["small"] == of["large"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(values=st.lists(st.integers(0, 65535), max_size=60))
+def test_runs(values):
+    at, n = importance.runs(np.array(values, np.uint16))
+    assert dict(zip(at.tolist(), n.tolist())) == Counter(values) and sorted(set(values)) == at.tolist()
+
+
+def test_the_sample_leans_to_the_target(spark):
+    """Half of the texts use the target's words, and most of the draw is theirs."""
+    rows = [(i, (words(1, 40) if i % 2 else words(2, 40)) + " " + words(1000 + i, 10)) for i in range(400)]
+    target = spark.createDataFrame([(words(1, 40),)] * 20, "text string")
+    got = importance.resample(documents(spark, rows), target).where(F.col("rank").isNotNull()).collect()
+    assert len(got) == 40 and sum(r.doc_id % 2 for r in got) > 32
+
+
+def test_too_many_buckets(spark):
+    with pytest.raises(ValueError):
+        importance.resample(documents(spark), documents(spark), buckets=(1 << 16) + 1)

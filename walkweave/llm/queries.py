@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, resharding, secrets, simhash, substring, suffix, topk, toxicity
+from . import bpe, decontaminate, importance, langid, resharding, secrets, simhash, substring, suffix, token_counts, topk, toxicity
 from .common import table
 
 
@@ -52,6 +52,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -63,10 +71,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_resharding": op8_resharding,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op12_tokens": op12_tokens,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op5_substring": substring.SQL,
     "op9_topk": topk.SQL,
+    "op13_importance": importance.SQL,
 }
