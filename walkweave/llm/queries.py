@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, importance, langid, resharding, secrets, simhash, substring, suffix, token_counts, topk, toxicity
+from . import bpe, decontaminate, importance, langid, resharding, secrets, simhash, substring, suffix, token_counts, topk, toxicity, vector_codes
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_resharding": op8_resharding,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op11_codes": op11_codes,
     "op12_tokens": op12_tokens,
     "op13_importance": op13_importance,
 }
@@ -79,5 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op5_substring": substring.SQL,
     "op9_topk": topk.SQL,
+    "op11_codes": vector_codes.SQL,
     "op13_importance": importance.SQL,
 }
