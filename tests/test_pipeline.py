@@ -88,8 +88,6 @@ def test_fasttext(spark):
     made.fit(AnonymousWalker(1).extract(kg, roots(spark)), is_update=True)
     own = FastText(vector_size=4, epochs=1, bucket=50, func_computing_ngrams=lambda name: list(name)).fit(walks)
     assert len(vectors(own.transform(entity_frame(spark, ["xyz"])))["xyz"]) == 4
-    with pytest.raises(ValueError):
-        FastText(vector_size=4, most_state_mb=0).fit(walks)
 
 
 def test_upsert(spark):

@@ -177,6 +177,9 @@ def _anonymous(source: str) -> str:
     return f"list_transform({source}, lambda x: CASE WHEN x = entity THEN x ELSE CAST(list_position({source}, x) - 1 AS VARCHAR) END)"
 
 
+#: What trained vectors must show: customers are closer to those of their nation than to strangers.
+_CLOSER = "SELECT 'nation:' || CAST(c_nationkey AS VARCHAR) AS nation, count(*) AS n, CASE WHEN count(*) > 1 THEN true END AS closer FROM customer GROUP BY c_nationkey"
+
 ORACLE_SQL: dict[str, str] = {
     "triples_load": f"WITH {T} SELECT s, p, o FROM t",
     "skip_predicates": f"WITH {T} SELECT s, p, o FROM t WHERE p NOT IN ('has_priority', 'contains')",
@@ -227,6 +230,7 @@ ORACLE_SQL: dict[str, str] = {
     "literal_features": _chain(CUSTOMERS, [["from_nation"], ["has_balance"]])
     + " SELECT entity, chain_idx, CAST(count(node) AS INTEGER) AS n, count(node) > 0 AS has_any, round(min(num), 6) AS least, round(max(num), 6) AS greatest, round(coalesce(sum(num), 0), 6) AS total, round(avg(num), 6) AS mean, round(stddev_pop(num), 6) AS spread FROM y GROUP BY entity, chain_idx",
     "upsert_walks": f"WITH {T}, {FORWARD}, {walks(CUSTOMERS + ' WHERE c_custkey % 3 <> 0', 1)}, {walks(CUSTOMERS + ' WHERE c_custkey % 2 = 0', 2, name='u')} SELECT entity, array_to_string(walk, ' > ') AS walk FROM w1 WHERE entity NOT IN (SELECT entity FROM u0) UNION ALL SELECT entity, array_to_string(walk, ' > ') FROM u2",
+    "w2v_neighbours": _CLOSER,
     "multi_walker": f"WITH {T}, {FORWARD}, {walks(CUSTOMERS, 2)} SELECT DISTINCT 0 AS walker_idx, entity, array_to_string(list_transform(walk, lambda x, i: CASE WHEN i % 2 = 0 OR x LIKE 'customer:%' THEN x ELSE {_token('x')} END), ' > ') AS walk FROM w1 UNION ALL SELECT DISTINCT 1, entity, array_to_string({_anonymous('walk')}, ' > ') FROM w2",
     "fasttext_hash": f"WITH {T}, {V} SELECT v AS name, v AS gram, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, len(v) + 1), lambda i: CAST(ord(v[i]) AS BIGINT))), lambda a, b: ((a - a % 256 + xor(a % 256, b)) % 4000000 * 16777619) % 4000000) % 2000000 AS BIGINT) AS bucket FROM vs",
 }

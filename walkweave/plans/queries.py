@@ -251,12 +251,35 @@ def fasttext_hash(spark, sf_dir):
 
 def w2v_vectors(spark, sf_dir):
     kg, who = star_graph(spark, sf_dir), customers(spark, sf_dir)
-    return Word2Vec(vector_size=16, epochs=1, seed=42).fit(RandomWalker(2).extract(kg, who)).transform(who)
+    return Word2Vec(vector_size=16, epochs=1, seed=42, hs=True).fit(RandomWalker(2).extract(kg, who)).transform(who)
+
+
+def w2v_cbow_vectors(spark, sf_dir):
+    kg, who = star_graph(spark, sf_dir), customers(spark, sf_dir)
+    return Word2Vec(vector_size=16, epochs=2, seed=42).fit(RandomWalker(2).extract(kg, who)).transform(who)
+
+
+def w2v_neighbours(spark, sf_dir):
+    """For each nation, whether its customers' skip-gram vectors are closer to each other than to those of other nations' customers."""
+    kg, who = star_graph(spark, sf_dir), customers(spark, sf_dir)
+    size = 16
+    made = Word2Vec(size, epochs=8, step=0.3, negative=10, sample=0, seed=42, sg=True, parts=2).fit(RandomWalker(2, md5_bytes=None).extract(kg, who)).transform(who)
+    of = kg.triples.where("p = 'from_nation'").select(F.col("s").alias("entity"), F.col("o").alias("nation"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    units = made.join(of, "entity").select("nation", F.transform("vector", lambda x: x / length).alias("u"))
+    total = F.array(*[F.sum(F.get("u", F.lit(i))) for i in range(size)]).alias("s")
+    sums = units.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), total)
+    every = units.agg(F.count(F.lit(1)).alias("m"), total).first()  # one row
+    m, t = F.lit(every["m"]), F.lit(list(every["s"]))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    own = dot("s", "s")
+    near, far = (own - F.col("n")) / (F.col("n") * (F.col("n") - 1)), (dot("s", t) - own) / (F.col("n") * (m - F.col("n")))
+    return sums.select("nation", "n", F.when((F.col("n") > 1) & (m > F.col("n")), near > far).alias("closer"))
 
 
 def fasttext_vectors(spark, sf_dir):
     kg, who = star_graph(spark, sf_dir), customers(spark, sf_dir)
-    return FastText(vector_size=8, epochs=2, seed=42, partitions=8).fit(RandomWalker(2).extract(kg, who)).transform(who)
+    return FastText(vector_size=8, negative=5, epochs=2, step=0.05, seed=42, sg=True).fit(RandomWalker(2).extract(kg, who)).transform(who)
 
 
 def community_walks(spark, sf_dir):
@@ -316,6 +339,8 @@ QUERIES: dict[str, Query] = {
     "multi_walker": multi_walker,
     "fasttext_hash": fasttext_hash,
     "w2v_vectors": w2v_vectors,
+    "w2v_cbow_vectors": w2v_cbow_vectors,
+    "w2v_neighbours": w2v_neighbours,
     "fasttext_vectors": fasttext_vectors,
     "community_walks": community_walks,
 }
