@@ -217,6 +217,7 @@ ORACLE_SQL: dict[str, str] = {
     "weights_split": _shares(False, True),
     "weights_inverse_split": _shares(True, True),
     "ntriples_roundtrip": f"WITH {T} SELECT s, p, o FROM t",
+    "turtle_roundtrip": f"WITH {T} SELECT s, p, o FROM t",
     "add_vertices": f"WITH {T}, {V}, r AS ({CUSTOMERS}) SELECT v FROM vs UNION SELECT entity FROM r UNION SELECT entity || 'x' FROM r",
     "add_edges": f"WITH {TB} SELECT s, p, o FROM t WHERE p NOT IN ('has_priority', 'contains')",
     "entity_gate": "SELECT 'customer:' || CAST(c_custkey AS VARCHAR) || 'x' AS entity FROM customer WHERE c_custkey % 5 = 0",

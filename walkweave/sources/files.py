@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from walkweave.graph import KnowledgeGraph
 from walkweave.operators.ids import dense_ids
 
-from . import ntriples, rdf
+from . import ntriples, rdf, split_turtle
 
 
 def read_triples(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -16,6 +16,8 @@ def read_triples(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     kind = kind or ("parquet" if path.rstrip("/").endswith(".parquet") else rdf.format_of(path))
     if kind == "parquet":
         return spark.read.parquet(path).select("s", "p", "o")
+    if kind == "turtle":
+        return split_turtle.read_turtle(spark, path)
     return ntriples.read(spark, path) if kind == "nt" else rdf.read(spark, path, kind)
 
 

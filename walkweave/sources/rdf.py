@@ -138,8 +138,7 @@ def _unescaped(text: str) -> str:
     return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else _PLAIN.get(m[1], m[1]), text, flags=re.DOTALL)
 
 
-def turtle(text: str, base: str = "") -> Iterator[Triple]:
-    """The triples of a Turtle document; the graphs of TriG are read into one."""
+def turtle_tokens(text: str) -> list[tuple[str, str]]:
     tokens: list[tuple[str, str]] = []
     at = 0
     while at < len(text):
@@ -149,6 +148,12 @@ def turtle(text: str, base: str = "") -> Iterator[Triple]:
         at = m.end()
         if m.lastgroup != "skip":
             tokens.append((m.lastgroup, m[0]))
+    return tokens
+
+
+def turtle(text: str, base: str = "", named: str = "t") -> Iterator[Triple]:
+    """The triples of a Turtle document; the graphs of TriG are read into one. Blank nodes without a name get ``named`` and a number."""
+    tokens = turtle_tokens(text)
     prefixes: dict[str, str] = {}
     found: list[Triple] = []
     place = blanks = 0
@@ -167,7 +172,7 @@ def turtle(text: str, base: str = "") -> Iterator[Triple]:
     def fresh() -> str:
         nonlocal blanks
         blanks += 1
-        return f"_:t{blanks}"
+        return f"_:{named}{blanks}"
 
     def iri(kind: str, value: str) -> str:
         if kind == "iri":
