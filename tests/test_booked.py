@@ -1,0 +1,123 @@
+"""Sampling with marks, held against a plain version that goes walk by walk."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from graphs import CHAIN, LOOP, ROOTS, full, graph, roots
+from pyspark.sql import functions as F
+
+from walkweave.graph import entity_frame
+from walkweave.operators.booked import booked_walks, leaves, trees
+from walkweave.operators.sampled import exact_walks, fixed_draw
+from walkweave.operators.samplers import ObjFreqSampler, PageRankSampler, UniformSampler, WideSampler
+from walkweave.plans.walkers import RandomWalker
+
+SEED = random.Random(3)
+RANDOM = sorted({(f"v{SEED.randrange(7)}", f"p{SEED.randrange(2)}", f"v{SEED.randrange(12)}") for _ in range(60)})
+
+
+def plain(ways, root, depth, walks, inverse, split, reverse, draw, marked):
+    """The walks of one root; ``ways``: p, n, w, degree of the hops of each vertex."""
+    out = []
+    for number in range(walks):
+        nodes, steps = [root], []
+        while len(steps) < depth:
+            place, v = len(steps), nodes[-1]
+            left = [c for c in ways.get(v, []) if (place, v, c[0], c[1]) not in marked]
+            if not left:
+                if steps:
+                    marked.add((place - 1, nodes[-2], steps[-1], v))
+                break
+            w = np.array([c[2] for c in left], float)
+            if inverse:
+                w = w.max() - (w - w.min())
+            if split:
+                w = w / np.array([c[3] or 1 for c in left])
+            if not w.sum():
+                w[:] = 1
+            edges = np.cumsum(w) / w.sum()
+            p, n = left[min(int(np.searchsorted(edges, draw(number, place), side="right")), len(left) - 1)][:2]
+            if place == depth - 1:
+                marked.add((place, v, p, n))
+            nodes.append(n)
+            steps.append(p)
+        walk = [root]
+        for p, n in zip(steps, nodes[1:]):
+            walk = [n, p, *walk] if reverse else [*walk, p, n]
+        out.append(tuple(walk))
+    return out
+
+
+def ways_of(kg, sampler, reverse):
+    degree = {r.o: r.degree for r in sampler.in_degrees().collect()}
+    ways = {}
+    for r in sampler.weigh(kg.hops(reverse)).orderBy("v", "p", "n").collect():
+        ways.setdefault(r.v, []).append((r.p, r.n, r.w, degree.get(r.n)))
+    return ways
+
+
+CASES = [
+    (RANDOM, UniformSampler, False, False, 3, 4),
+    (RANDOM, ObjFreqSampler, True, True, 2, 3),
+    (RANDOM, WideSampler, False, True, 2, 64),
+    (LOOP, PageRankSampler, True, False, 4, 64),
+    (CHAIN, ObjFreqSampler, True, True, 3, 64),
+]
+
+
+@pytest.mark.parametrize("rows, kind, inverse, split, depth, fan", CASES)
+@pytest.mark.parametrize("reverse", [False, True])
+def test_walks_and_marks_equal_plain_ones(spark, rows, kind, inverse, split, depth, fan, reverse):
+    kg = graph(spark, rows)
+    sampler = (kind(inverse, split) if kind is not UniformSampler else kind()).fit(kg)
+    names = [*(ROOTS if rows is not RANDOM else ["v0", "v3", "v9"]), "nobody"]
+    us = [[0.03, 0.9, 0.41, 0.999, 0.0, 0.63, 0.27][(3 * number + level) % 7] for number, level in itertools.product(range(6), range(depth))]
+    draw = lambda number, level: us[number * depth + level]
+    got, marks = booked_walks(kg, entity_frame(spark, names), depth, 6, sampler, reverse, lambda number, level: F.lit(draw(number, level)), fan=fan)
+    ways, want, left = ways_of(kg, sampler, reverse), [], set()
+    for name in names:
+        marked = set()
+        want += [(name, i, w) for i, w in enumerate(plain(ways, name, depth, 6, inverse, split, reverse, draw, marked))]
+        left |= {(name, *m) for m in marked}
+    assert sorted((r.entity, r.number, tuple(r.walk)) for r in got.collect()) == sorted(want)
+    assert sorted(map(tuple, marks.collect())) == sorted(left)
+
+
+def test_the_grid_of_small_graphs(spark):
+    for rows, depth, walks in [(LOOP, 0, 3), (LOOP, 1, 5), (LOOP, 5, 2), (CHAIN, 4, 3), (CHAIN, 2, 0)]:
+        kg = graph(spark, rows)
+        sampler = UniformSampler().fit(kg)
+        got = exact_walks(kg, roots(spark), depth, walks, sampler).collect()
+        ways = ways_of(kg, sampler, False)
+        want = [(r, i, w) for r in ROOTS for i, w in enumerate(plain(ways, r, depth, walks, False, False, False, lambda *_: fixed_draw(42), set()))]
+        assert sorted((r.entity, r.number, tuple(r.walk)) for r in got) == sorted(want)
+
+
+def test_marks_can_be_read_and_set(spark):
+    kg = graph(spark, LOOP)
+    who, sampler = entity_frame(spark, full("Alice", "Bob")), ObjFreqSampler(inverse=True).fit(kg)
+    whole = exact_walks(kg, who, 2, 5, sampler).collect()
+    first = sorted((r.entity, r.number, tuple(r.walk)) for r in exact_walks(kg, who, 2, 2, sampler).collect())
+    odd = spark.createDataFrame([(full("Alice")[0], 0, "no", "such", "hop")], sampler.visited.schema)
+    rest = sorted((r.entity, r.number + 2, tuple(r.walk)) for r in exact_walks(kg, who, 2, 3, sampler, visited=sampler.visited.unionByName(odd)).collect())
+    assert sorted(first + rest) == sorted((r.entity, r.number, tuple(r.walk)) for r in whole)
+    RandomWalker(2, 2, sampler, sampling="exact").extract(kg, who).count()
+    assert sampler.visited.columns == ["entity", "place", "v", "p", "n"]
+
+
+def test_a_hub_is_a_tree_of_small_nodes(spark):
+    edges = spark.range(5000).select(F.lit("hub").alias("s"), F.lit("p").alias("p"), F.format_string("n%05d", "id").alias("o"))
+    kg = graph(spark, LOOP).add(edges)
+    nodes, steps = trees(leaves(kg, UniformSampler().fit(kg), False), 16, 0)
+    assert steps == 4 and nodes.agg(F.max(F.size("children"))).first()[0] == 16
+    got, _ = booked_walks(kg, entity_frame(spark, ["hub"]), 1, 3, UniformSampler().fit(kg), False, lambda number, level: F.lit(0.5))
+    assert [r.walk[-1] for r in got.orderBy("number").collect()] == ["n02500", "n02499", "n02501"]
+
+
+def test_an_empty_graph_and_no_roots(spark):
+    kg = graph(spark, LOOP)
+    assert exact_walks(kg, entity_frame(spark, []), 2, 2, UniformSampler().fit(kg)).count() == 0
+    none = kg.remove(kg.triples)
+    assert [tuple(r.walk) for r in exact_walks(none, entity_frame(spark, ["a"]), 2, 2, UniformSampler().fit(none)).collect()] == [("a",)] * 2

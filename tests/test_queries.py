@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, duck, name):
     assert shown(got) == shown(want)
 
 
-@pytest.mark.parametrize("name", ["dfs_hashed", "dfs_exact", "w2v_vectors", "w2v_cbow_vectors", "fasttext_vectors", "community_walks"])
+@pytest.mark.parametrize("name", ["dfs_hashed", "w2v_vectors", "w2v_cbow_vectors", "fasttext_vectors", "community_walks"])
 def test_query_without_sql(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 

@@ -30,6 +30,8 @@ class Sampler(Described):
     def __init__(self, inverse: bool = False, split: bool = False):
         self.inverse, self.split = inverse, split
         self._graph: KnowledgeGraph | None = None
+        #: Marks of the last exact sampling, ``entity, place, v, p, n``: hops exhausted for a root at a place of its walks.
+        self.visited: DataFrame | None = None
 
     def fit(self, kg: KnowledgeGraph) -> Sampler:
         if getattr(kg, "is_remote", False) and not (self.supports_remote and not self.split):

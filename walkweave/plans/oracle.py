@@ -128,6 +128,25 @@ def _draws(depth: int, walks_each: int, seed: int) -> str:
     return f"WITH {', '.join(parts)} SELECT DISTINCT entity, array_to_string(walk, ' > ') AS walk FROM w{depth}"
 
 
+def _exact(walks_each: int) -> str:
+    """Walks of two hops, one after the other, of hops that are not marked: ``m{k}`` are the marks (place, v, p, n) after k walks."""
+
+    def pick(rows: str, of: str, place: int, marks: str) -> str:
+        """The hop of each of ``rows`` (entity, tail) that a choice with the fixed number takes among the unmarked ones in order."""
+        left = f"SELECT x.entity, h.v, h.p, h.n FROM {rows} x JOIN h ON h.v = x.{of} ANTI JOIN {marks} m ON m.entity = x.entity AND m.place = {place} AND m.v = h.v AND m.p = h.p AND m.n = h.n"
+        return f"SELECT entity, v, p, n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p, n) - 1 AS k, count(*) OVER (PARTITION BY entity) AS d FROM ({left})) WHERE k = CAST(floor({FIXED_42} * d) AS BIGINT)"
+
+    parts = [T, FORWARD, f"r AS MATERIALIZED ({CUSTOMERS})", "m0 AS MATERIALIZED (SELECT entity, CAST(0 AS INTEGER) AS place, entity AS v, entity AS p, entity AS n FROM r WHERE false)"]
+    for k in range(walks_each):
+        parts += [
+            f"a{k} AS MATERIALIZED ({pick('r', 'entity', 0, f'm{k}')})",
+            f"b{k} AS MATERIALIZED ({pick(f'a{k}', 'n', 1, f'm{k}')})",
+            f"w{k} AS (SELECT CAST({k} AS INTEGER) AS number, r.entity, CASE WHEN a.n IS NULL THEN r.entity WHEN b.n IS NULL THEN concat_ws(' > ', r.entity, a.p, a.n) ELSE concat_ws(' > ', r.entity, a.p, a.n, b.p, b.n) END AS walk FROM r LEFT JOIN a{k} a USING (entity) LEFT JOIN b{k} b USING (entity))",
+            f"m{k + 1} AS MATERIALIZED (SELECT * FROM m{k} UNION ALL SELECT entity, 1, v, p, n FROM b{k} UNION ALL SELECT entity, 0, v, p, n FROM a{k} WHERE entity NOT IN (SELECT entity FROM b{k}))",
+        ]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(walks_each))
+
+
 _PICKS = f"{_chances(True, False)}, g AS MATERIALIZED (SELECT v, p, n FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY p, n) AS k FROM (SELECT *, sum(prob) OVER (PARTITION BY v ORDER BY p, n ROWS UNBOUNDED PRECEDING) AS cum FROM c) WHERE cum > {FIXED_42} QUALIFY k = 1))"
 
 
@@ -224,6 +243,7 @@ ORACLE_SQL: dict[str, str] = {
     "tokens_bytes": f"WITH {T}, {V}, r AS ({NATIONS}) SELECT v, CASE WHEN v IN (SELECT entity FROM r) THEN v ELSE {_bytes_token('v')} END AS label FROM vs",
     "random_walk_bytes": f"WITH {T}, {FORWARD}, {walks(CUSTOMERS, 2)} SELECT DISTINCT entity, array_to_string(list_transform(walk, lambda y, j: CASE WHEN j % 2 = 0 OR y LIKE 'customer:%' THEN y ELSE {_bytes_token('y')} END), ' > ') AS walk FROM w2",
     "dfs_hashed": _draws(3, 4, 7),
+    "dfs_exact": _exact(4),
     "dfs_fixed_u": f"WITH {_PICKS}, {walks(ORDERS, 2, hops='g')} SELECT entity, array_to_string(walk, ' > ') AS walk FROM w2",
     "literals_chain1": _literals(CUSTOMERS, [["has_balance"], ["in_segment"], ["has_brand"]]),
     "literals_chain2": _literals(ORDERS, [["placed_by", "has_balance"], ["contains", "has_brand"]]),

@@ -48,3 +48,14 @@ def stored(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path  # a table without rows has no files to tell its schema
+
+
+def rounds_table(spark: SparkSession, schema: str):
+    """A Parquet table below the shared folder that grows by rounds: a function that writes a round's rows and gives them back as stored, and one that gives all rows with their ``number``."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+    def write(df: DataFrame, number: int) -> DataFrame:
+        df.write.parquet(f"{path}/number={number}")
+        return spark.read.schema(schema).parquet(f"{path}/number={number}")
+
+    return write, lambda: spark.read.schema(f"{schema}, number int").option("basePath", path).parquet(path)
