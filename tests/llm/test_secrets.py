@@ -69,7 +69,78 @@ def test_other_structures():
 def test_signed_tokens():
     assert kinds("a " + token({"alg": "HS256"}) + " b") == ["jwt"]
     assert kinds(token({"typ": "x"})) == kinds(token({"alg": 5})) == kinds(token({"alg": "RS256"}, signature=b"short")) == []
-    assert kinds(token({"alg": "none"}, signature=b"")) == ["jwt"]
+    assert kinds(token({"alg": "none"}, signature=b"")) == kinds(token({"alg": "none"})[:-30]) == []
+    assert kinds("ey." + token({"alg": "HS256"}) + " " + "e30xy" + token({"alg": "HS256"})) == ["jwt", "jwt"]
+
+
+KEY_PIECES = [
+    *(b64(x) for x in (RSA, WRAPPED, CURVE, PUBLIC, SSH)),
+    b64(WRAPPED, True),
+    b64(RSA)[:300],
+    *("\n".join(re.findall(".{1,64}", b64(x))) for x in (RSA, SSH)),
+    "\\n".join(re.findall(".{1,40}", b64(CURVE))),
+    *(CURVE.hex(), RSA.hex()[:200], "\n  ".join(re.findall(".{1,32}", CURVE.hex()))),
+    *(":".join(f"{b:02x}" for b in CURVE), ":\n    ".join(":".join(re.findall("..", x)) for x in re.findall(".{1,30}", WRAPPED.hex()))),
+    *(" ", "\n", "x", "MIMB8AAA", "b3Blb", "30", ":", "=", "\\n", "-", "é", "30:82:01:"),
+]
+
+
+def plain_keys(text):
+    """Keys found by decoding, at each place, all that follows."""
+    out, end = [], 0
+    for m in S.START.finditer(text):
+        at = m.start()
+        if at < end:
+            continue
+        colons, digits = text[at + 2 : at + 3] == ":", text[at] == "3"
+        if colons:
+            places = [x.start() + k for x in re.finditer("[0-9A-Fa-f]{2}", text[: re.compile(r"[0-9A-Fa-f]{2}(?::\s*[0-9A-Fa-f]{2})*").match(text, at).end()][at:]) for k in (0, 1)]
+            places = [at + x for x in places]
+        else:
+            line, places, k = re.compile("[0-9A-Fa-f]+" if digits else "[A-Za-z0-9+/_-]+"), [], at
+            while got := line.match(text, k):
+                places += range(*got.span())
+                if not (gap := S.BREAK.match(text, got.end())):
+                    break
+                k = gap.end()
+        body = "".join(text[k] for k in places)
+        body = body[: len(body) - (len(body) % 4 == 1)] if not digits else body[: len(body) // 2 * 2]
+        data = bytes.fromhex(body) if digits else S.from_base64(body)
+        size = S.ssh_size(S.of_bytes(data)) if text[at] == "b" else S.key_size(S.of_bytes(data))
+        if size and (text[at] == "b" or S.is_private_key(data[:size])):
+            end = places[(2 * size if digits else -(-size * 4 // 3)) - 1] + 1
+            while not digits and text[end : end + 1] == "=" and end - places[-(-size * 4 // 3) - 1] <= 2:
+                end += 1
+            out.append(("ssh" if text[at] == "b" else "der", at, end))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(KEY_PIECES), max_size=12).map("".join))
+def test_keys_equal_whole_decoding(text):
+    assert [s for s in S.confirmed(text) if s[0] in ("der", "ssh")] == plain_keys(text)
+
+
+@pytest.mark.parametrize("size", [1 << 17, 1 << 20])
+def test_keys_of_any_length(size):
+    key = element(0x30, number(0) + element(0x30, element(6, b"\x2a\x86\x48")) + element(4, b"k" * size))
+    text = "x " + "\n".join(re.findall(".{1,64}", b64(key))) + " y"
+    assert kinds(text) == ["der"] and S.confirmed(text)[0][2] == len(text) - 2
+    assert kinds(key.hex()) == ["der"]
+
+
+@pytest.mark.parametrize("unit", ["MIMB8AAA", "MIQAAPAA", "MIMAgAAw", "MIMB8AACAQACA", "MIGHAgEAMBMG", "MIQAAPAA\n", "3082ffff0201000282010100", "308400ff0000020100308400", "30:84:00:ff:02:01:00:02:82:01:aa:bb:cc:\n   ", "30:82:01:ff:02:01:00:02:82:01:", b64(SSH)[:60], "eyeyeyey"])
+def test_each_start_takes_bounded_work(unit, monkeypatch):
+    calls = []
+    real = S.Reader.__init__
+    monkeypatch.setattr(S.Reader, "__init__", lambda self, size, read: real(self, size, lambda a, n: calls.append(n) or read(a, n)))
+    built = []
+    monkeypatch.setattr(S.Run, "__init__", lambda self, pieces, own=S.Run.__init__: (own(self, pieces), built.append(len(self.body)))[0])
+    text = (unit * (400_000 // len(unit)))[:400_000]
+    S.scan(text)
+    starts = sum(1 for _ in S.START.finditer(text))
+    assert sum(built) <= 2 * len(text)  # a run is put together once for each kind of digits
+    assert sum(calls) <= 400 * starts
 
 
 def plain_base(text):

@@ -6,6 +6,8 @@ Confirmed kinds: ``pem`` (an armoured private key), ``der`` (a bare private key
 in base64 or hexadecimal), ``ssh`` (the same in OpenSSH's format) and ``jwt``
 (a signed token).  A candidate of those is decoded, and only nested lengths that
 fit exactly, known key layouts and readable token headers let it be reported.
+Tokens without a signature are not, nor bare keys in lines of which the first has
+under 20 characters.
 
 Edge cases: a null or empty text has no spans; texts of any length are scanned
 whole; repeated rows give repeated rows; extra columns are ignored; an empty
@@ -18,6 +20,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +45,9 @@ COLON_PAIRS = re.compile(r"[0-9A-Fa-f]{2}(?::\s*[0-9A-Fa-f]{2})*")
 #: An end of line, or one written with backslashes.
 BREAK = re.compile(r"[ \t]*(?:[\r\n]|\\+[rn])(?:[ \t\r\n]|\\+[rn])*")
 
-#: Bytes of a key at most: lengths beyond that are no key's, and would have much text read for nothing.
-MOST_KEY = 1 << 17
+PADDING, PAIR = re.compile("={0,2}"), re.compile(r"[0-9A-Fa-f]{2}")
+URL_SAFE = str.maketrans("-_", "+/")
+JSON_START = re.compile(rb"\s*\{")
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt")
@@ -65,174 +70,248 @@ def from_base64(text: str) -> bytes | None:
         return None
 
 
-def elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tags and contents of definite-length elements that fill ``data`` exactly; None if they don't."""
-    out, at, n = [], 0, len(data)
-    while at < n:
-        if at + 2 > n:
+class Reader:
+    """Bytes of an encoding, of which only those that are asked for are decoded."""
+
+    def __init__(self, size: int, read: Callable[[int, int], bytes]):
+        self.size, self.read = size, read
+
+    def number(self, at: int, n: int) -> int | None:
+        got = self.read(at, n) if at + n <= self.size else b""
+        return int.from_bytes(got, "big") if len(got) == n else None
+
+
+def of_bytes(data: bytes) -> Reader:
+    return Reader(len(data), lambda at, n: data[at : at + n])
+
+
+INTEGER, OCTETS, OBJECT_ID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+#: No key's layout has a sequence of more elements.
+MOST_ELEMENTS = 10
+
+Element = tuple[int, int, int]
+
+
+def element_at(data: Reader, at: int, end: int) -> Element | None:
+    """Tag, start and end of the contents of the definite-length element at this place; None if there is none before ``end``."""
+    head = data.read(at, min(6, end - at))
+    if len(head) < 2 or head[0] & 0x1F == 0x1F:
+        return None
+    size, more = head[1], 0
+    if size & 0x80:
+        more = size & 0x7F
+        if not 1 <= more <= 4 or len(head) < 2 + more or not head[2]:
             return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size & 0x80:
-            more = size & 0x7F
-            if not 1 <= more <= 4 or at + more > n or data[at] == 0:
-                return None
-            size = int.from_bytes(data[at : at + more], "big")
-            at += more
-            if size < 0x80:
-                return None
-        if tag & 0x1F == 0x1F or at + size > n:
+        size = int.from_bytes(head[2 : 2 + more], "big")
+        if size < 0x80:
             return None
-        out.append((tag, data[at : at + size]))
-        at += size
-    return out
+    at += 2 + more
+    return (head[0], at, at + size) if at + size <= end else None
 
 
-INTEGER, OCTETS, OBJECT_ID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+def elements(data: Reader, at: int, end: int) -> list[Element] | None:
+    """The elements that fill a stretch exactly; None if they don't, or are more than any key has."""
+    out: list[Element] = []
+    while at < end:
+        found = element_at(data, at, end) if len(out) < MOST_ELEMENTS else None
+        if found is None:
+            return None
+        out.append(found)
+        at = found[2]
+    return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether the bytes are a private key's encoding, by layout and nested lengths."""
-    top = elements(data)
-    if not top or len(top) != 1 or top[0][0] != SEQUENCE:
-        return False
-    inner = elements(top[0][1])
+def is_key_sequence(data: Reader, start: int, end: int) -> bool:
+    """Whether a sequence's contents are laid out as a private key's; reads some headers of elements and nothing else."""
+    first = element_at(data, start, end)
+    if not first or not (first[0] == SEQUENCE or first[0] == INTEGER and first[2] - first[1] == 1):
+        return False  # no layout begins otherwise
+    inner = elements(data, start, end)
     if not inner:
         return False
-    tags = [t for t, _ in inner]
-    if tags[:3] == [INTEGER, SEQUENCE, OCTETS] and len(inner[0][1]) == 1:  # an algorithm and the key in it
-        algorithm = elements(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == OBJECT_ID and bool(inner[2][1])
-    if len(tags) >= 9 and set(tags[:9]) == {INTEGER} and len(inner[0][1]) == 1 and len(inner[1][1]) >= 32:  # version, modulus, exponents, primes
+    tags, sizes = [t for t, _, _ in inner], [b - a for _, a, b in inner]
+
+    def algorithm(k: int) -> bool:
+        parts = elements(data, *inner[k][1:])
+        return bool(parts) and parts[0][0] == OBJECT_ID
+
+    if tags[:3] == [INTEGER, SEQUENCE, OCTETS] and sizes[0] == 1:  # an algorithm and the key in it
+        return algorithm(1) and sizes[2] > 0
+    if len(tags) >= 9 and set(tags[:9]) == {INTEGER} and sizes[0] == 1 and sizes[1] >= 32:  # version, modulus, exponents, primes
         return True
-    if len(tags) == 6 and set(tags) == {INTEGER} and inner[0][1] == b"\0" and len(inner[1][1]) >= 32:
+    version = data.number(inner[0][1], 1)
+    if len(tags) == 6 and set(tags) == {INTEGER} and version == 0 and sizes[1] >= 32:
         return True
-    if tags[:2] == [INTEGER, OCTETS] and inner[0][1] == b"\1" and len(inner[1][1]) >= 16:  # a curve's key
-        return all(t in (0xA0, 0xA1) and elements(x) for t, x in inner[2:])
-    if tags == [SEQUENCE, OCTETS] and len(inner[1][1]) >= 16:  # an encrypted key
-        algorithm = elements(inner[0][1])
-        return bool(algorithm) and algorithm[0][0] == OBJECT_ID
+    if tags[:2] == [INTEGER, OCTETS] and version == 1 and sizes[1] >= 16:  # a curve's key
+        return all(t in (0xA0, 0xA1) and bool(elements(data, a, b)) for t, a, b in inner[2:])
+    if tags == [SEQUENCE, OCTETS] and sizes[1] >= 16:  # an encrypted key
+        return algorithm(0)
     return False
 
 
-def ssh_size(data: bytes) -> int | None:
+def key_size(data: Reader) -> int | None:
+    """Bytes of the private key that ``data`` begins with, by layout and nested lengths; None if there is none."""
+    top = element_at(data, 0, data.size)
+    return top[2] if top and top[0] == SEQUENCE and is_key_sequence(data, *top[1:]) else None
+
+
+def is_private_key(data: bytes) -> bool:
+    """Whether the bytes are a private key's encoding, to the end."""
+    return key_size(of_bytes(data)) == len(data) > 0
+
+
+SSH_MARK = b"openssh-key-v1\0"
+
+
+def ssh_size(data: Reader) -> int | None:
     """Bytes of the OpenSSH private key that ``data`` begins with, by its mark and length-prefixed fields; None if there is none."""
-    mark = b"openssh-key-v1\0"
-    if not data.startswith(mark):
+    if data.size < len(SSH_MARK) or data.read(0, len(SSH_MARK)) != SSH_MARK:
         return None
-    at = len(mark)
+    at = len(SSH_MARK)
 
-    def field() -> bytes | None:
+    def field(least: int) -> bool:
         nonlocal at
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return None
+        size = data.number(at, 4)
+        if size is None or size < least or at + 4 + size > data.size:
+            return False
         at += 4 + size
-        return data[at - size : at]
+        return True
 
-    if any(field() is None for _ in range(3)) or at + 4 > len(data):
+    if not (field(0) and field(0) and field(0)):
         return None
-    keys = int.from_bytes(data[at : at + 4], "big")
+    keys = data.number(at, 4)
     at += 4
-    return at if 1 <= keys <= 16 and all(field() for _ in range(keys)) and field() else None
+    return at if keys and keys <= 16 and all(field(1) for _ in range(keys)) and field(1) else None
 
 
 def is_ssh_key(data: bytes) -> bool:
     """Whether the bytes are an OpenSSH private key, to the end."""
-    size = ssh_size(data)
+    size = ssh_size(of_bytes(data))
     return size is not None and not data[size:].strip(b"\0")
 
 
-def is_signed_token(text: str) -> bool:
-    """Whether three dot-separated parts are a header that names an algorithm, claims, and a signature where one is due."""
-    head, claims, signature = text.split(".")
-    parsed = []
-    for part in (head, claims):
-        try:
-            parsed.append(json.loads(from_base64(part) or b""))
-        except (ValueError, RecursionError):
-            return False
-    if not all(isinstance(x, dict) for x in parsed) or not isinstance(parsed[0].get("alg"), str):
-        return False
-    return parsed[0]["alg"].lower() == "none" or len(from_base64(signature) or b"") >= 16
+def _object(data: bytes | None) -> dict | None:
+    """The JSON object that the bytes are; None if they are none."""
+    try:
+        found = json.loads(data or b"")
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
 
 
 def tokens(text: str) -> list[Span]:
-    """Spans of signed tokens: any three parts between dots, their header from any place of the first on."""
+    """Spans of signed tokens: a header that names an algorithm, claims and a signature of 16 bytes or more.
+
+    They are three parts between dots, the header from any place of the first
+    on.  A token without a signature has nothing that confirms it and is not
+    reported.
+    """
     out = []
     for m in DOTTED.finditer(text):
         parts, at, end = m[0].split("."), m.start(), 0
         for head, claims, signature in zip(parts, parts[1:], parts[2:]):
-            for s in HEADER.finditer(head) if at >= end else ():
-                token = f"{head[s.start() :]}.{claims}.{signature}"
-                if is_signed_token(token):
-                    end = at + s.start() + len(token)
-                    out.append(("jwt", at + s.start(), end))
-                    break
+            if at >= end and len(from_base64(signature) or b"") >= 16 and _object(from_base64(claims)) is not None:
+                # All starts at the same distance to the end, modulo four, lie in one decoding.
+                decoded = [b"" if k == 1 else from_base64(head[(len(head) - k) % 4 :]) or b"" for k in range(4)]
+                for s in HEADER.finditer(head):
+                    size = len(head) - s.start()
+                    data = decoded[size % 4]
+                    begin = len(data) - size * 3 // 4
+                    if size % 4 == 1 or not JSON_START.match(data, begin):
+                        continue
+                    if isinstance((_object(data[begin:]) or {}).get("alg"), str):
+                        end = at + len(head) + len(claims) + len(signature) + 2
+                        out.append(("jwt", at + s.start(), end))
+                        break
             at += len(head) + 1
     return out
 
 
-def _lines(text: str, at: int, line: re.Pattern, most: int | None) -> tuple[str, int]:
-    """Up to ``most`` characters of consecutive lines from ``at`` on, without the breaks, and the place behind them."""
-    got, size, end = [], 0, at
-    while most is None or size < most:
-        m = line.match(text, at, len(text) if most is None else at + most - size)
-        if not m:
-            break
-        got.append(m[0])
-        size += len(m[0])
-        end = m.end()
-        if size == most or not (m := BREAK.match(text, end)):
+class Run:
+    """Digits that belong together over line ends, without what is between them, and the places that they come from."""
+
+    def __init__(self, pieces: Iterable[tuple[int, str]]):
+        got: list[str] = []
+        self.offsets, self.places, self.end, size = [], [], 0, 0
+        for place, piece in pieces:
+            self.offsets.append(size)
+            self.places.append(place)
+            got.append(piece)
+            size += len(piece)
+            self.end = place + len(piece)
+        self.body = "".join(got)
+
+    def offset(self, place: int) -> int:
+        k = bisect_right(self.places, place) - 1
+        return self.offsets[k] + place - self.places[k]
+
+    def place(self, offset: int) -> int:
+        k = bisect_right(self.offsets, offset) - 1
+        return self.places[k] + offset - self.offsets[k]
+
+
+def _lines(text: str, at: int, line: re.Pattern) -> Iterator[tuple[int, str]]:
+    """Consecutive lines from ``at`` on, with their places."""
+    while m := line.match(text, at):
+        yield at, m[0]
+        if not (gap := BREAK.match(text, m.end())):
             break
-        at = m.end()
-    return "".join(got), end
-
-
-def _sequence_size(data: bytes) -> int | None:
-    """Bytes of the sequence that ``data`` begins with, by its header."""
-    if data[1] < 0x80:
-        return 2 + data[1]
-    more = data[1] & 0x7F
-    return 2 + more + int.from_bytes(data[2 : 2 + more], "big") if 1 <= more <= 4 else None
-
-
-def key_at(text: str, at: int) -> Span | None:
-    """The private key that begins at this place, in one line or several."""
-    if text[at] == "b":
-        size, most = None, 400
-        while size is None and most <= MOST_KEY:  # more is read only as long as the fields' lengths ask for it
-            body, _ = _lines(text, at, BASE64_LINE, most)
-            data = from_base64(body[: len(body) - (len(body) % 4 == 1)]) or b""
-            size = ssh_size(data)
-            if len(body) < most or int.from_bytes(data[15:19], "big") > 64:
-                break
-            most *= 4
+        at = gap.end()
+
+
+def _pairs(text: str, at: int) -> Iterator[tuple[int, str]]:
+    """Bytes between colons, with their places."""
+    end = COLON_PAIRS.match(text, at).end()
+    return ((m.start(), m[0]) for m in PAIR.finditer(text, at, end))
+
+
+class KeyFinder:
+    """Finds the keys of one text that begin at given places, in ascending order.
+
+    A run is put together once for all places in it, and a place costs some
+    headers of elements, so hostile texts take time in proportion as well.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.runs: dict[str, Run] = {}
+
+    def run(self, kind: str, at: int) -> Run:
+        found = self.runs.get(kind)
+        if found is None or at >= found.end:
+            pieces = _pairs(self.text, at) if kind == "colons" else _lines(self.text, at, HEX_LINE if kind == "hex" else BASE64_LINE)
+            found = self.runs[kind] = Run(pieces)
+            if kind == "base64":
+                found.body = found.body.translate(URL_SAFE)
+        return found
+
+    def key_at(self, at: int) -> Span | None:
+        """The private key that begins at this place, in one line or several."""
+        text = self.text
+        first = text[at]
+        kind = "colons" if text[at + 2 : at + 3] == ":" else "hex" if first == "3" else "base64"
+        run = self.run(kind, at)
+        start = run.offset(at)
+        left = len(run.body) - start
+
+        def of_base64(a: int, n: int) -> bytes:
+            chunk = run.body[start + a // 3 * 4 : start + -(-(a + n) // 3) * 4]
+            chunk = chunk[: len(chunk) - (len(chunk) % 4 == 1)]
+            return binascii.a2b_base64(chunk + "=" * (-len(chunk) % 4))[a % 3 : a % 3 + n]
+
+        def of_hex(a: int, n: int) -> bytes:
+            return bytes.fromhex(run.body[start + 2 * a : start + 2 * (a + n)])
+
+        data = Reader(left * 3 // 4, of_base64) if kind == "base64" else Reader(left // 2, of_hex)
+        size = ssh_size(data) if first == "b" else key_size(data)
         if size is None:
             return None
-        end = _lines(text, at, BASE64_LINE, -(-size * 4 // 3))[1]
-        return "ssh", at, end + len(re.compile("={0,2}").match(text, end)[0])
-    if text[at + 2 : at + 3] == ":":
-        size = _sequence_size(bytes.fromhex(text[at : at + 17].replace(":", "")))
-        if size is None or 3 * size > len(text) or size > MOST_KEY:
-            return None
-        pairs = COLON_PAIRS.match(text, at, at + 6 * size)[0]  # lines of 15 bytes may be indented by up to 45 places
-        data = bytes.fromhex(re.sub(r"[:\s]", "", pairs))
-        if size > len(data) or not is_private_key(data[:size]):
-            return None
-        ends = [m.end() for m in re.finditer(r"[0-9A-Fa-f]{2}", pairs)]
-        return "der", at, at + ends[size - 1]
-    hexadecimal = text[at] == "3"
-    line, read = (HEX_LINE, bytes.fromhex) if hexadecimal else (BASE64_LINE, from_base64)
-    head, _ = _lines(text, at, line, 12)
-    size = _sequence_size(read(head)) if len(head) == 12 else None
-    if size is None or size > len(text) or size > MOST_KEY:
-        return None
-    most = 2 * size if hexadecimal else -(-size * 4 // 3)
-    body, end = _lines(text, at, line, most)
-    if len(body) < most or not is_private_key(read(body) or b""):
-        return None
-    return "der", at, end if hexadecimal else end + len(re.compile("={0,2}").match(text, end)[0])
+        digits = -(-size * 4 // 3) if kind == "base64" else 2 * size
+        end = run.place(start + digits - 1) + 1
+        if kind == "base64":
+            end += len(PADDING.match(text, end)[0])
+        return "ssh" if first == "b" else "der", at, end
 
 
 def armoured(text: str) -> list[tuple[int, int]]:
@@ -259,13 +338,13 @@ def confirmed(text: str) -> list[Span]:
     keys = iter([*out, ("pem", len(text), len(text))])
     armour = next(keys)
     out += tokens(text)
-    end = 0
+    end, finder = 0, KeyFinder(text)
     for m in START.finditer(text):
         while armour[2] <= m.start() < len(text):
             armour = next(keys)
         if m.start() < end or m.start() >= armour[1]:
             continue
-        if found := key_at(text, m.start()):
+        if found := finder.key_at(m.start()):
             out.append(found)
             end = found[2]
     return out
