@@ -50,32 +50,9 @@ def test_windows(spark, rows, bound):
     assert Counter(map(tuple, got)) == brute_windows(rows)
 
 
-def test_rounds_keep_the_prefilter_sharp(spark):
-    """Ten times more windows than a round's sketch has cells: the exact pass still gets few of the unique ones."""
-    rows = [(i, words(5000 + i, 2000)) for i in range(340)]
-    rows += [(900 + i, words(9000, 40) + " " + words(9100 + i, 1500)) for i in range(3)]
-    bits, through = 16, []
-    frame = documents(spark, rows)
-    rounds = sketch.rounds_for(2 * sum(len(t) for _, t in rows) // 11, bits)
-    assert sum(len(t.split()) - 12 for _, t in rows) > 10 << bits and rounds > 40
-    for turn in range(0, rounds, 16):
-        def hashes(batch, turn=turn):
-            for data in batch.column(0).to_pylist():
-                a, b = substring._names(data.encode().split(), 13)
-                at = sketch.turn_of(a, rounds) == turn
-                yield a[at], b[at]
-
-        made = sketch.build(frame.select("text"), hashes, bits)
-        own = [substring._names(t.encode().split(), 13) for _, t in rows[:340]]
-        a, b = (np.concatenate(x) for x in zip(*own))
-        at = sketch.turn_of(a, rounds) == turn
-        through.append(made.holds(a[at], b[at]).mean())
-    assert max(through) < 0.05
-
-
-def test_windows_in_rounds(spark):
+def test_windows_beyond_a_small_bound(spark):
     rows = DOCS + EXTRA
-    assert sketch.rounds_for(2 * sum(len(t or "") for _, t in rows) // 11, 14) > 1
+    assert not sketch.fits(2 * sum(len(t or "") for _, t in rows) // 11, 14)
     got = substring.dedup(documents(spark, rows), most_bits=14).collect()
     assert Counter(map(tuple, got)) == brute_windows(rows)
 
@@ -96,7 +73,7 @@ def test_windows_are_read_equally_often_at_every_size(spark):
         substring.dedup(frame, most_bits=bits).collect()
         jobs.append(len(context.statusTracker().getJobIdsForGroup(f"windows {bits}")))
     context.setLocalProperty("spark.jobGroup.id", None)
-    assert sketch.rounds_for(2 * sum(len((t or "").encode()) for _, t in DOCS) // 11, 14) > 1
+    assert not sketch.fits(2 * sum(len((t or "").encode()) for _, t in DOCS) // 11, 14)
     assert max(jobs) - min(jobs) <= 8 and min(jobs) > 0
 
 
@@ -120,13 +97,6 @@ def test_shards_let_few_unique_windows_through(spark):
     assert sum(seen[x] == 1 for x in got) < 0.03 * len(seen)
 
 
-def test_bytes_in_rounds(spark):
-    rows = DOCS + EXTRA
-    assert 1 < sketch.rounds_for(2 * sum(len((t or "").encode()) for _, t in rows) // 100, 11) < 6
-    got = suffix.dedup(documents(spark, rows), most_bits=11).collect()
-    assert Counter(map(tuple, got)) == brute_bytes(rows, 200)
-
-
 def test_windows_with_a_crowded_sketch(spark):
     got = substring.dedup(documents(spark), most_bits=16).collect()
     assert Counter(map(tuple, got)) == brute_windows(DOCS)
@@ -156,6 +126,50 @@ def test_bytes(spark, rows, group):
     assert Counter(map(tuple, got)) == brute_bytes(rows, 200)
 
 
+@pytest.mark.parametrize("size", [300, 20_000, 8 << 20])
+@pytest.mark.parametrize("rows", [DOCS + EXTRA, [], [(None, "x" * 300), (None, None)], [(i, words(7, 60)) for i in (3, 1, 2)] + [(4, words(7, 30) + words(8, 300))]])
+def test_bytes_with_a_sketch_that_stays_in_its_shards(spark, rows, size):
+    got = suffix.dedup(documents(spark, rows), most_bits=4, chunk_bytes=size, group=2 if size == 300 else 1024).collect()
+    assert Counter(map(tuple, got)) == brute_bytes(rows, 200)
+
+
+def rows_read(spark) -> dict[int, int]:
+    """Rows that each stage has read from tables."""
+    double = spark.sparkContext._gateway.jvm.double
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(double, 0), None).iterator()
+    found = {}
+    while stages.hasNext():
+        stage = stages.next()
+        found[stage.stageId()] = stage.inputRecords()
+    return found
+
+
+def test_texts_are_read_equally_often_at_every_size(spark):
+    """Rows read from tables: as many where the bound is ten or a hundred times too small."""
+    rows = [(i, words(300 + i, 400)) for i in range(60)] + [(100 + i, words(900, 60) + words(400 + i, 300)) for i in range(20)]
+    path = spark.conf.get("spark.sql.warehouse.dir") + "/read_equally_often"
+    documents(spark, rows).write.mode("overwrite").parquet(path)
+    about = 2 * sum(len(t) for _, t in rows) // 100
+    read, jobs = [], []
+    for bits in (12, 9, 6):
+        assert not sketch.fits(about, bits)
+        last = max(rows_read(spark), default=-1)
+        suffix.dedup(spark.read.parquet(path), most_bits=bits).collect()
+        new = {stage: n for stage, n in rows_read(spark).items() if stage > last}
+        read.append(sum(new.values()))
+        jobs.append(len(new))
+    assert read[0] == read[1] == read[2] > len(rows) and max(jobs) - min(jobs) <= 8
+
+
+def test_cores_spread_over_all_cells():
+    """Cores are the least names of many; their hashes must still fall evenly."""
+    texts = [words(i, 2000).encode() for i in range(20)]
+    core = np.unique(np.concatenate([suffix.anchors(d, s, 200)[0] for d, s, _, _ in suffix.buffers(texts, 200)]))
+    for lane in suffix._lanes(core):
+        parts = np.bincount((lane >> np.uint64(60)).astype(int), minlength=16)
+        assert parts.min() > 0.7 * len(core) / 16 and parts.max() < 1.3 * len(core) / 16
+
+
 def test_bytes_of_other_lengths_and_pieces(spark, monkeypatch):
     rows = [(1, "abcabcabcabd" * 30), (2, "xyz" + "abcabc" * 9), (3, words(3, 300)), (4, words(3, 299)[5:])]
     for length in (2, 7, 50):

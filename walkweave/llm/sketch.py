@@ -4,11 +4,11 @@ A sketch has a row of cells for each lane of the hashes.  Each task sends, for
 each range of cells (a shard), the sorted cell numbers that its hashes fall into,
 packed as differences; for each shard the tasks' parts are merged, and only the
 bit "at least ``least``" of each cell goes to the driver.  The sketch's size is
-set by ``bits`` alone.  Where data have more hashes than that has room for, they
-are dealt by :func:`turn_of` into rounds, with a sketch each, or the sketch stays
-in its shards: :func:`repeated_cells` sends each chunk of the data back those of
-its own cells that are hit again anywhere, and :func:`found_in_chunks` looks its
-hashes up in a small sketch of these.  Nothing then is as large as the data.
+set by ``bits`` alone.  Where data have more hashes than that has room for
+(:func:`fits`), the sketch stays in its shards: :func:`repeated_cells` sends each
+chunk of the data back those of its own cells that are hit again anywhere, and
+:func:`found_in_chunks` looks its hashes up in a small sketch of these.  Nothing
+then is as large as the data.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .common import bounded_batches, checkpointed
 
 _SHARD_BITS = 22
 _CHUNK_BITS = 24
+#: Chunks are dealt into so many partitions at most; a partition takes its chunks one after another.
+_MOST_PARTITIONS = 20_000
 
 
 def bits_for(hashes: int, most: int, cells_each: int = 4) -> int:
@@ -33,14 +37,9 @@ def bits_for(hashes: int, most: int, cells_each: int = 4) -> int:
     return max(16, min(most, round(math.log2(max(2, cells_each * hashes)))))
 
 
-def rounds_for(hashes: int, most: int, cells_each: float = 4.5) -> int:
-    """Into how many rounds hashes must be dealt, so that each has ``cells_each`` cells in a sketch of ``most`` bits."""
-    return max(1, math.ceil(cells_each * hashes / (1 << most)))
-
-
-def turn_of(lane: np.ndarray, rounds: int) -> np.ndarray:
-    """The rounds of hashes, by their low halves; cells go by the high ones."""
-    return ((lane & np.uint64(0xFFFFFFFF)) * np.uint64(rounds)) >> np.uint64(32)
+def fits(hashes: int, most: int, cells_each: float = 4.5) -> bool:
+    """Whether a sketch of ``most`` bits has ``cells_each`` cells for each hash."""
+    return cells_each * hashes <= 1 << most
 
 
 class Sketch:
@@ -136,6 +135,46 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.nd
     return Sketch(bits, planes)
 
 
+def chunked(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """``chunk, data``: rows ``key, doc_id, text, ...`` whose texts have about so many bytes together, as compressed Arrow streams.
+
+    A text lies in one chunk as a whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, at = [], 0, TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                stop = min(batch.num_rows, int(np.searchsorted(ends, before + chunk_bytes - size)) + 1)
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - before
+                start = stop
+                if size >= chunk_bytes:
+                    yield row()
+                    size, at = 0, at + 1
+        if held:
+            yield row()
+
+    return rows.mapInArrow(run, "chunk bigint, data binary")
+
+
+def by_chunk(rows: DataFrame, chunks: DataFrame, *order: str) -> DataFrame:
+    """Rows with a ``chunk``, those of one chunk together and in order."""
+    return rows.repartition(max(1, min(chunks.count(), _MOST_PARTITIONS)), "chunk").sortWithinPartitions("chunk", *order)
+
+
 def _shard_bits(bits: int) -> int:
     """Wider shards for wide sketches, so that a chunk's parts don't become too small."""
     return min(bits, max(_SHARD_BITS, min(25, bits - 9)))
@@ -205,19 +244,20 @@ def repeated_cells(chunks: DataFrame, hashes: Callable[[bytes], tuple[np.ndarray
     return chunks.mapInArrow(parts, schema).repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(returned, schema)
 
 
-def found_in_chunks(chunks: DataFrame, cells: DataFrame, bits: int, find: Callable[[bytes, Sketch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def found_in_chunks(chunks: DataFrame, cells: DataFrame, bits: int, find: Callable[[bytes, Sketch], Iterator[pa.RecordBatch]], schema: str, own: bool = False) -> DataFrame:
     """What the function finds in each chunk, given a sketch that holds all of its hashes whose cells are in ``cells``.
 
     Of the chunk's other hashes the sketch holds few: it has some ten cells for each hash.
+    With ``own``, rows begin with their ``chunk``.
     """
     shard_bits, own_bits, lanes = _shard_bits(bits), min(bits, _CHUNK_BITS), 2
     last = chunks.select("chunk", F.lit(lanes).alias("row"), F.lit(0).alias("shard"), "data")
-    rows = cells.union(last).repartition(max(1, chunks.count()), "chunk").sortWithinPartitions("chunk", "row", "shard")
+    rows = by_chunk(cells.union(last), chunks, "row", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
-            for row, shard, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for chunk, row, shard, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 if planes is None:
                     planes = [np.zeros(1 << own_bits, bool) for _ in range(lanes)]
                 if row < lanes:
@@ -225,9 +265,10 @@ def found_in_chunks(chunks: DataFrame, cells: DataFrame, bits: int, find: Callab
                 else:
                     sketch = Sketch(own_bits, [np.packbits(p, bitorder="little") for p in planes])
                     planes = None
-                    yield from find(data.as_buffer(), sketch)
+                    for found in find(data.as_buffer(), sketch):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(found.num_rows, chunk), pa.int64()), *found.columns], names=["chunk", *found.schema.names]) if own else found
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"chunk bigint, {schema}" if own else schema)
 
 
 def of_column(df: DataFrame, names: list[str], bits: int) -> Sketch:

@@ -26,13 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, byte_values, checkpointed, sha, stored
-from .sketch import bits_for, build, found_in_chunks, of_column, repeated_cells, rounds_for
+from .sketch import bits_for, build, chunked, fits, found_in_chunks, of_column, repeated_cells
 from .spans import finish, has_repeated_ids, joined_runs, row_key
 from .windows import window_names, word_symbols
 
@@ -47,40 +45,6 @@ def _first_places(a: np.ndarray) -> np.ndarray:
     return np.unique(a, return_index=True)[1]
 
 
-def _chunked(chunk_bytes: int):
-    """Rows ``chunk, data``: texts of about so many bytes together, with keys and ids, compressed.  Copies are left out."""
-
-    def run(batches):
-        held, size, at = [], 0, TaskContext.get().partitionId() << 32
-
-        def row():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in held:
-                    out.write_batch(part)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        for batch in batches:
-            whole = pc.and_(pc.and_(batch.column(0).is_valid(), batch.column(2).is_valid()), batch.column(3).is_null())
-            batch = batch.filter(whole)
-            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
-            start = 0
-            while start < batch.num_rows:
-                before = int(ends[start - 1]) if start else 0
-                stop = min(batch.num_rows, int(np.searchsorted(ends, before + chunk_bytes - size)) + 1)
-                held.append(batch.slice(start, stop - start))
-                size += int(ends[stop - 1]) - before
-                start = stop
-                if size >= chunk_bytes:
-                    yield row()
-                    size, at = 0, at + 1
-        if held:
-            yield row()
-
-    return run
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, most_bits: int = 30, broadcast_rows: int = 2_000_000, chunk_bytes: int = 8 << 20) -> DataFrame:
     """What stays of each document: ``doc_id, n_words, n_removed, kept_sha256``.
 
@@ -161,12 +125,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     schema = "a bigint, b bigint, doc_id bigint"
     shared = None
-    if rounds_for(about, most_bits) == 1:
+    if fits(about, most_bits):
         shared = context.broadcast(build(marked, hashes, bits_for(about, most_bits)))
         seen = marked.mapInArrow(windows(shared, True), schema)
     else:
         bounded_batches(docs.sparkSession)
-        chunks = stored(marked.mapInArrow(_chunked(chunk_bytes), "chunk bigint, data binary"))
+        chunks = stored(chunked(marked.where("key IS NOT NULL AND text IS NOT NULL AND copy IS NULL"), chunk_bytes))
         bits = bits_for(about, 48, 8)
         seen = found_in_chunks(chunks, repeated_cells(chunks, of_chunk, bits), bits, in_chunk, schema)
     repeated = stored(seen.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1").drop("n"))
