@@ -37,6 +37,22 @@ def _bfs(roots: str, depth: int, reverse: bool = False) -> str:
 _BOTH = f"{T}, {FORWARD}, g AS MATERIALIZED (SELECT o AS v, p, s AS n FROM t), {walks(CUSTOMERS, 1)}, {walks(CUSTOMERS, 1, True, 'r', 'g')}, b AS (SELECT w1.entity, len(r1.walk) - 1 AS root_idx, list_concat(list_slice(r1.walk, 1, len(r1.walk) - 1), w1.walk) AS walk FROM w1 JOIN r1 USING (entity))"
 
 
+#: The triples after a change.
+_CHANGED = f"t2 AS MATERIALIZED (SELECT s, p, o FROM t WHERE p <> 'has_brand' AND NOT (p = 'in_segment' AND o = 'MACHINERY') UNION SELECT DISTINCT o, 'part_of', 'world' FROM t WHERE p = 'in_region' UNION ({_triples([BALANCE])}))"
+
+
+def _changed_walks(roots: str, depth: int, reverse: bool = False) -> str:
+    """Common table expressions of the walks before (``w{depth}``) and after (``u{depth}``) the change."""
+    v, n = ("o", "s") if reverse else ("s", "o")
+    after = f"h2 AS MATERIALIZED (SELECT {v} AS v, p, {n} AS n FROM t2)"
+    return f"WITH {T}, {BACK if reverse else FORWARD}, {_CHANGED}, {after}, {walks(roots, depth, reverse)}, {walks(roots, depth, reverse, 'u', 'h2')}"
+
+
+def _delta(roots: str, depth: int, reverse: bool = False) -> str:
+    a, b = (f"SELECT entity, array_to_string(walk, ' > ') AS walk FROM {x}{depth}" for x in "wu")
+    return f"{_changed_walks(roots, depth, reverse)} SELECT 1::INTEGER AS change, * FROM ({b} EXCEPT {a}) UNION ALL SELECT -1::INTEGER AS change, * FROM ({a} EXCEPT {b})"
+
+
 def _token(x: str) -> str:
     return f"left(md5({x}), 16)"
 
@@ -251,6 +267,9 @@ ORACLE_SQL: dict[str, str] = {
     "literal_features": _chain(CUSTOMERS, [["from_nation"], ["has_balance"]])
     + " SELECT entity, chain_idx, CAST(count(node) AS INTEGER) AS n, count(node) > 0 AS has_any, round(min(num), 6) AS least, round(max(num), 6) AS greatest, round(coalesce(sum(num), 0), 6) AS total, round(avg(num), 6) AS mean, round(stddev_pop(num), 6) AS spread FROM y GROUP BY entity, chain_idx",
     "upsert_walks": f"WITH {T}, {FORWARD}, {walks(CUSTOMERS + ' WHERE c_custkey % 3 <> 0', 1)}, {walks(CUSTOMERS + ' WHERE c_custkey % 2 = 0', 2, name='u')} SELECT entity, array_to_string(walk, ' > ') AS walk FROM w1 WHERE entity NOT IN (SELECT entity FROM u0) UNION ALL SELECT entity, array_to_string(walk, ' > ') FROM u2",
+    "walk_delta": _delta(ORDERS, 2),
+    "walk_delta_rev": _delta("SELECT s AS entity FROM t UNION SELECT o FROM t", 2, True),
+    "kept_walks": f"{_changed_walks(CUSTOMERS, 3)} SELECT entity, array_to_string(walk, ' > ') AS walk FROM u3",
     "w2v_neighbours": _CLOSER,
     "multi_walker": f"WITH {T}, {FORWARD}, {walks(CUSTOMERS, 2)} SELECT DISTINCT 0 AS walker_idx, entity, array_to_string(list_transform(walk, lambda x, i: CASE WHEN i % 2 = 0 OR x LIKE 'customer:%' THEN x ELSE {_token('x')} END), ' > ') AS walk FROM w1 UNION ALL SELECT DISTINCT 1, entity, array_to_string({_anonymous('walk')}, ' > ') FROM w2",
     "fasttext_hash": f"WITH {T}, {V} SELECT v AS name, v AS gram, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, len(v) + 1), lambda i: CAST(ord(v[i]) AS BIGINT))), lambda a, b: ((a - a % 256 + xor(a % 256, b)) % 4000000 * 16777619) % 4000000) % 2000000 AS BIGINT) AS bucket FROM vs",

@@ -20,12 +20,14 @@ from walkweave.operators import relabel
 from walkweave.operators import literals as lit
 from walkweave.operators.sampled import exact_walks, sample_walks
 from walkweave.operators.samplers import ObjFreqSampler, ObjPredFreqSampler, PageRankSampler, PredFreqSampler, Sampler, UniformSampler, WideSampler
+from walkweave.operators.upkeep import walk_changes
 from walkweave.operators.walks import both_ways, expand, labelled, with_root
 from walkweave.operators.wl import wl_labels
 from walkweave.sources import ntriples
 from walkweave.sources.files import read_triples
 from walkweave.sources.relational import BALANCE, EDGES, roots, star_graph
 from walkweave.spark import shared_folder
+from walkweave.streaming.walk_store import WalkStore
 
 from .embedders import FastText, Word2Vec
 from .pipeline import upsert
@@ -246,6 +248,33 @@ def upsert_walks(spark, sf_dir):
     return _joined(upsert(old, expand(kg.hops(), who.where("pos % 2 = 0"), 2)))
 
 
+def _change(spark, sf_dir):
+    """A change of the graph: parts lose their brands and become ends, customers in one segment move out of it, regions, which were ends, get a hop, and customers their balances."""
+    kg = star_graph(spark, sf_dir)
+    regions = kg.triples.where("p = 'in_region'").select(F.col("o").alias("s"), F.lit("part_of").alias("p"), F.lit("world").alias("o")).distinct()
+    return kg, regions.unionByName(star_graph(spark, sf_dir, edges=[BALANCE]).triples), kg.triples.where("p = 'has_brand' OR (p = 'in_segment' AND o = 'MACHINERY')")
+
+
+def walk_delta(spark, sf_dir):
+    """The walks of orders that the change brings and takes away."""
+    kg, added, removed = _change(spark, sf_dir)
+    return _joined(walk_changes(kg, added, removed, orders(spark, sf_dir), 2), "change")
+
+
+def walk_delta_rev(spark, sf_dir):
+    """The same for walks that lead to any vertex, brands and segments among them, against the hops."""
+    kg, added, removed = _change(spark, sf_dir)
+    return _joined(walk_changes(kg, added, removed, kg.vertices().withColumnRenamed("v", "entity"), 2, True), "change")
+
+
+def kept_walks(spark, sf_dir):
+    """All walks of customers in a store that has followed the change."""
+    kg, added, removed = _change(spark, sf_dir)
+    store = WalkStore.create(kg, customers(spark, sf_dir), f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}", 3)
+    store.apply(added, removed)
+    return _joined(store.walks())
+
+
 def multi_walker(spark, sf_dir):
     kg, who = star_graph(spark, sf_dir), customers(spark, sf_dir)
     walkers = [RandomWalker(1, token_style="hex"), AnonymousWalker(2)]
@@ -345,6 +374,9 @@ QUERIES: dict[str, Query] = {
     "literals_cast": literals_cast,
     "literal_features": literal_features,
     "upsert_walks": upsert_walks,
+    "walk_delta": walk_delta,
+    "walk_delta_rev": walk_delta_rev,
+    "kept_walks": kept_walks,
     "multi_walker": multi_walker,
     "fasttext_hash": fasttext_hash,
     "w2v_vectors": w2v_vectors,
