@@ -75,3 +75,22 @@ def test_unknown_hops_weigh_nothing(spark):
     rows = S.ObjPredFreqSampler().fit(kg).probabilities(odd).collect()
     assert [(r.w, r.prob) for r in rows] == [(0.0, 0.5)] * 2
     assert F is not None
+
+
+def test_predicate_counts_do_not_deal_hops_by_predicate(spark):
+    """Few predicates hold most hops, so tables of them are broadcast whatever their estimated size."""
+    kg = graph(spark, LOOP)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.PredFreqSampler().fit(kg).weigh(kg.hops())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(p#" not in plan
+
+
+def test_more_predicates_than_are_broadcast(spark, monkeypatch):
+    kg = graph(spark, LOOP)
+    expected = weights(kg, S.WideSampler())
+    monkeypatch.setattr(S, "MOST_PREDICATES", 1)
+    assert weights(kg, S.WideSampler()) == expected
