@@ -4,8 +4,10 @@ import pytest
 from graphs import CHAIN, LOOP, graph, short
 from pyspark.sql import functions as F
 
+from walkweave.operators import sampled
 from walkweave.operators import samplers as S
 from walkweave.operators.pagerank import pagerank
+from walkweave.operators.sampled import sample_walks
 
 KINDS = [S.ObjFreqSampler, S.PredFreqSampler, S.ObjPredFreqSampler, S.PageRankSampler, S.WideSampler]
 
@@ -94,3 +96,27 @@ def test_more_predicates_than_are_broadcast(spark, monkeypatch):
     expected = weights(kg, S.WideSampler())
     monkeypatch.setattr(S, "MOST_PREDICATES", 1)
     assert weights(kg, S.WideSampler()) == expected
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_vertices_of_many_hops_are_drawn_from_alike(spark, monkeypatch, reverse):
+    """Whether a vertex's hops lie in one row or in buckets, the same walks are drawn."""
+    rows = [("a", "p", f"n{i:02}") for i in range(40)] + [(f"n{i:02}", "q", "ab"[i % 2]) for i in range(40)] + [("b", "p", "n01"), ("b", "r", "end")]
+    kg = graph(spark, rows)
+    who = kg.vertices().withColumnRenamed("v", "entity")
+    drawn = lambda: sorted((r.entity, tuple(r.walk)) for r in sample_walks(kg, who, 3, 4, S.ObjFreqSampler(inverse=True).fit(kg), reverse, seed=3).collect())
+    one = drawn()
+    monkeypatch.setattr(sampled, "FEW", 5)
+    assert drawn() == one and len(one) > 42
+
+
+def test_few_hops_are_not_dealt_by_range(spark, monkeypatch):
+    """Vertices of few hops need no intervals over range partitions, nor checkpoints of all hops."""
+    kg = graph(spark, LOOP)
+
+    def refuse(*_):
+        raise AssertionError("dealt by range")
+
+    monkeypatch.setattr(S.Sampler, "intervals", refuse)
+    who = kg.vertices().withColumnRenamed("v", "entity")
+    assert sample_walks(kg, who, 2, 2, S.UniformSampler().fit(kg)).count() >= 3
