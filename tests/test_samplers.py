@@ -4,10 +4,12 @@ import pytest
 from graphs import CHAIN, LOOP, graph, short
 from pyspark.sql import functions as F
 
+from walkweave.operators import pagerank as ranks
 from walkweave.operators import sampled
 from walkweave.operators import samplers as S
 from walkweave.operators.pagerank import pagerank
 from walkweave.operators.sampled import sample_walks
+from walkweave.spark import cut
 
 KINDS = [S.ObjFreqSampler, S.PredFreqSampler, S.ObjPredFreqSampler, S.PageRankSampler, S.WideSampler]
 
@@ -120,3 +122,10 @@ def test_few_hops_are_not_dealt_by_range(spark, monkeypatch):
     monkeypatch.setattr(S.Sampler, "intervals", refuse)
     who = kg.vertices().withColumnRenamed("v", "entity")
     assert sample_walks(kg, who, 2, 2, S.UniformSampler().fit(kg)).count() >= 3
+
+
+def test_ways_of_pagerank_are_no_checkpoint(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ranks, "cut", lambda df: (written.append(df.columns), cut(df))[1])
+    assert pagerank(graph(spark, LOOP), rounds=2, fixed=True).count() == 3
+    assert written and all("s" not in columns for columns in written)

@@ -23,16 +23,17 @@ def pagerank(kg: KnowledgeGraph, alpha: float = 0.85, tolerance: float = 1e-6, r
     alike, only what flows is dealt anew, and two sums (the rank of vertices
     without a way on, and the movement) come to the driver together.
     """
-    edges = kg.triples.select("s", "o").distinct()
     parts = int(kg.triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ways = cut(edges.repartition(parts, "s"))
+    # Dealt once, in which they also become distinct; kept as columns, which take a fraction of a checkpoint's rows.
+    ways = kg.triples.select("s", "o").repartition(parts, "s").distinct().persist(StorageLevel.MEMORY_AND_DISK_DESER)
     out = ways.groupBy("s").agg(F.count("o").alias("out"))
     vertices = kg.vertices().repartition(parts, "v")
     nodes = cut(vertices.join(out, F.col("v") == F.col("s"), "left").select("v", "out"))
     n, idle = nodes.agg(F.count("v"), F.count_if(F.col("out").isNull())).first()
     if not n:
+        ways.unpersist()
         return nodes.select("v", F.lit(0.0).alias("rank"))
-    ranks, loose, kept = nodes.select("v", "out", F.lit(1.0 / n).alias("rank")), idle / n, None
+    ranks, loose, kept, last = nodes.select("v", "out", F.lit(1.0 / n).alias("rank")), idle / n, None, False
     for k in range(rounds):
         share = ranks.where("out IS NOT NULL").select("v", (F.col("rank") / F.col("out")).alias("share"))
         flow = ways.join(share, F.col("s") == F.col("v")).groupBy("o").agg(F.sum("share").alias("came"))
@@ -51,5 +52,11 @@ def pagerank(kg: KnowledgeGraph, alpha: float = 0.85, tolerance: float = 1e-6, r
             break
     else:
         if not fixed:
+            ways.unpersist()
             raise RuntimeError(f"PageRank did not settle in {rounds} rounds")
-    return ranks.select("v", "rank")
+    # A checkpoint, so that the ways are no longer needed.
+    found = ranks.select("v", "rank") if last else cut(ranks.select("v", "rank"))
+    ways.unpersist()
+    if kept is not None:
+        kept.unpersist()
+    return found
