@@ -179,3 +179,12 @@ def test_community_hops_replace_only_vertices(spark):
 
 def test_with_root(spark):
     assert with_root(expand(graph(spark, LOOP).hops(), roots(spark), 0)).where("root_idx = 0").count() == 3
+
+
+def test_walklets_are_compared_without_their_root(spark):
+    """What is dealt holds a pair's other place, not the root once more."""
+    walks = spark.createDataFrame([("a", 0, ["a", "p", "b"]), ("a", 0, ["a", "p", "c"]), ("e", 0, ["e"])], "entity string, root_idx int, walk array<string>")
+    made = relabel.walklets(walks, reverse=True)
+    assert {(r.entity, r.root_idx, tuple(r.walk)) for r in made.collect()} == {("a", 1, ("p", "a")), ("a", 1, ("b", "a")), ("a", 1, ("c", "a")), ("e", 0, ("e",))} and made.count() == 4
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity" in plan and "hashpartitioning(entity#" in plan and ", walk#" not in plan.split("hashpartitioning(")[1].split(")")[0]
