@@ -110,3 +110,40 @@ def test_a_store_follows_a_stream(spark, tmp_path):
         spark.createDataFrame(rows, change).coalesce(1).write.mode("append").parquet(came)
         store.follow(spark.readStream.schema(change).parquet(came), str(tmp_path / "c")).awaitTermination()
     assert stored_walks(store) == all_walks({("a", "p", "b"), ("b", "q", "d"), ("d", "p", "a")}, ["a"], 3)
+
+
+def test_vertices_that_no_root_reaches_are_not_grown_from(spark, monkeypatch):
+    """Growing backwards from a changed hop stops at vertices that no root leads to, however many come before it."""
+    from walkweave.operators import upkeep
+
+    rows = [(f"s{i}", "p", "hub") for i in range(2000)] + [("hub", "p", "end"), ("root", "p", "a"), ("a", "p", "end")]
+    cut, counts = upkeep.cut, []
+
+    def counted(df):
+        made = cut(df)
+        counts.append(made.count())
+        return made
+
+    monkeypatch.setattr(upkeep, "cut", counted)
+    for depth in (2, 3):
+        got = walk_changes(graph(spark, rows), triples(spark, [("hub", "q", "new"), ("a", "q", "new")]), triples(spark, [("hub", "p", "end")]), entity_frame(spark, ["root"]), depth).collect()
+        assert [(r.entity, list(r.walk), r.change) for r in got] == [("root", ["root", "p", "a", "q", "new"], 1)]
+        assert max(counts) <= 4
+
+
+def test_the_graph_is_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from walkweave.graph import KnowledgeGraph
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    rows = triples(spark, [(f"a{i}", "p", f"b{i}") for i in range(50)]).coalesce(1)
+    kg = KnowledgeGraph(rows.select(seen.asNondeterministic()("s").alias("s"), "p", "o"), distinct=True)
+    got = walk_changes(kg, triples(spark, [("b7", "p", "c")]), triples(spark, [("a9", "p", "b9")]), entity_frame(spark, [f"a{i}" for i in range(50)]), 2).collect()
+    assert len(got) == 4 and made.value <= 50

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from walkweave.graph import KnowledgeGraph
-from walkweave.operators.upkeep import TERMS, effective, walk_changes
+from walkweave.operators.upkeep import TERMS, changed_walks, divided
 from walkweave.operators.walks import expand
 from walkweave.spark import cut, folders, remove
 
@@ -41,7 +41,8 @@ class WalkStore:
         who = roots.select("entity").distinct()
         made._write("roots", 0, who)
         made._write("triples", 0, kg.triples.withColumn("change", F.lit(1)))
-        made._write("walks", 0, expand(kg.hops(reverse), who, depth, reverse).withColumn("change", F.lit(1)))
+        known = KnowledgeGraph(roots.sparkSession.read.schema(_CHANGE).parquet(made._folder("triples", 0)), distinct=True)  # made once
+        made._write("walks", 0, expand(known.hops(reverse), who, depth, reverse).withColumn("change", F.lit(1)))
         made._done(0, 0)
         return made
 
@@ -84,9 +85,8 @@ class WalkStore:
     def apply(self, added: DataFrame, removed: DataFrame) -> DataFrame:
         """Brings a change of the graph to the store; gives what it does to the walks."""
         number = self.numbers()[-1] + 1
-        kg = self.graph()
-        plus, minus = (cut(d.select(*TERMS)) for d in effective(kg, added, removed))
-        self._write("walks", number, walk_changes(kg, plus, minus, self.roots(), self.depth, self.reverse))
+        kept, plus, minus = divided(self.graph(), added, removed)
+        self._write("walks", number, changed_walks(kept, plus, minus, self.roots(), self.depth, self.reverse))
         self._write("triples", number, plus.withColumn("change", F.lit(1)).unionByName(minus.withColumn("change", F.lit(-1))))
         self._done(number, self._base())
         return self.spark.read.schema(_TABLES["walks"]).parquet(self._folder("walks", number))
