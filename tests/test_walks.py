@@ -100,6 +100,19 @@ def test_ngrams_and_wildcards(spark):
     assert relabel.wildcard_walks(walks, [5]).count() == 2
 
 
+@pytest.mark.parametrize("grams", [1, 2, 3])
+@pytest.mark.parametrize("depth", [0, 1, 3, 4])
+def test_ngrams_of_hops_are_those_of_walks(spark, grams, depth):
+    """The same walks and numbers as from whole walks, without taking a walk apart."""
+    rows = [*map(tuple, LOOP), *map(tuple, CHAIN), ("x", "p", "y")]
+    kg, who = graph(spark, rows), roots(spark, [*ROOTS, "x", "nowhere", "x"])
+    got = relabel.ngram_walks(kg.hops(), who, depth, grams)
+    assert sorted((r.entity, r.root_idx, tuple(r.walk)) for r in got.collect()) == sorted((r.entity, r.root_idx, tuple(r.walk)) for r in relabel.ngrams(with_root(expand(kg.hops(), who, depth)), grams).collect())
+    made = W.NGramWalker(depth, grams=grams).extract(kg, who)
+    assert collected(made) == collected(got)
+    assert "map_from_entries" not in made._jdf.queryExecution().toString()
+
+
 def test_split_words(spark):
     name = "http://x.org/c#"
     walks = spark.createDataFrame([(name + "d19", 0, [name + "d19", name + "hasBond", name + "bond3209"])], "entity string, root_idx int, walk array<string>")
