@@ -37,6 +37,23 @@ def test_ntriples(spark, tmp_path):
         ntriples.read(spark, str(tmp_path / "bad.nt")).collect()
 
 
+def test_ntriples_take_one_pass_of_the_pattern(spark, tmp_path):
+    lines = [
+        "<> <http://p> <> .",
+        '<http://a> <> "" .',
+        '<http://a\u0001b> <http://p> "c\u0001d" .',
+        '_:x <http://p> "\u0001"@en <http://g> . # \u0001',
+        '<http://a> <http://p> "$1 \\\\ \\u00e9" . # note',
+        "  # \u0001",
+        "\u0001 # no triple",
+        "no triple",
+    ]
+    (tmp_path / "x.nt").write_text("\n".join(lines))
+    found = ntriples.read(spark, str(tmp_path / "x.nt"), strict=False)
+    assert rows(found) == sorted([("", "http://p", ""), ("http://a", "", ""), ("http://a\u0001b", "http://p", "c\u0001d"), ("_:x", "http://p", "\u0001"), ("http://a", "http://p", "$1 \\ é")])
+    assert "regexp_extract(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 XML = """<?xml version="1.0"?>
 <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e#" xml:base="http://base/">
   <rdf:Description rdf:about="http://a" e:name="Ann"><e:knows rdf:resource="b"/><e:age rdf:datatype="http://int">5</e:age></rdf:Description>

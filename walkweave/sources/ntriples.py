@@ -11,6 +11,8 @@ _OBJECT = r'(?:<([^>]*)>|(_:[^\s]+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<[^>]*>|
 _GRAPH = r"(?:\s+(?:<[^>]*>|_:[^\s]+))?"
 LINE = rf"^\s*{_SUBJECT}\s+<([^>]*)>\s+{_OBJECT}{_GRAPH}\s*\.\s*(?:#.*)?$"
 
+_MARK = "\u0001"
+
 #: Escapes of one character (fixed values of the format).
 ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
@@ -35,16 +37,19 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     Empty lines and comments go; ``strict`` makes another line that doesn't
     parse an error, else it goes too.
     """
-    lines = spark.read.text(path).where("NOT value RLIKE '^\\\\s*(#.*)?$'")
-    part = [F.regexp_extract("value", LINE, k) for k in range(1, 7)]
-    good = F.col("value").rlike(LINE)
+    # One pass of the pattern for all parts of a line, which a mark parts; lines that hold the mark themselves take one for each.
+    marked = F.regexp_replace("value", LINE, f"$1$2{_MARK}$3{_MARK}$4$5$6{_MARK}")
+    apart = F.transform(F.array(F.lit("$1$2"), F.lit("$3"), F.lit("$4$5$6")), lambda x: F.regexp_replace(F.col("value"), F.lit(LINE), x))
+    odd = F.col("value").contains(_MARK)
+    parts = F.when(~odd, F.split(marked, _MARK)).when(F.col("value").rlike(LINE), apart).otherwise(F.array("value"))
+    lines = spark.read.text(path).select("value", parts.alias("parts"))
+    lines = lines.where((F.size("parts") > 1) | ~F.col("value").rlike("^\\s*(#.*)?$"))
+    good = F.size("parts") > 1
     if strict:
         lines = lines.where(F.assert_true(good, F.concat(F.lit("not a triple: "), F.col("value"))).isNull())
     else:
         lines = lines.where(good)
-    s = F.when(part[0] != "", part[0]).otherwise(part[1])
-    o = F.when(F.col("value").rlike(rf"^\s*{_SUBJECT}\s+<[^>]*>\s+<"), part[3]).when(part[4] != "", part[4]).otherwise(part[5])
-    return lines.select(unescape(s).alias("s"), unescape(part[2]).alias("p"), unescape(o).alias("o"))
+    return lines.select(*[unescape(F.col("parts")[i]).alias(c) for i, c in enumerate(("s", "p", "o"))])
 
 
 def write(triples: DataFrame, path: str) -> None:
