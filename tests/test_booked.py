@@ -121,3 +121,20 @@ def test_an_empty_graph_and_no_roots(spark):
     assert exact_walks(kg, entity_frame(spark, []), 2, 2, UniformSampler().fit(kg)).count() == 0
     none = kg.remove(kg.triples)
     assert [tuple(r.walk) for r in exact_walks(none, entity_frame(spark, ["a"]), 2, 2, UniformSampler().fit(none)).collect()] == [("a",)] * 2
+
+
+def test_hops_that_no_root_meets_get_no_trees(spark, monkeypatch):
+    from walkweave.operators import booked
+
+    rows = [("r", "p", "a"), ("r", "p", "b"), ("a", "p", "c"), ("c", "p", "d")] + [(f"s{i}", "p", "r") for i in range(100)]
+    sizes, made = [], booked.leaves
+
+    def counted(*args):
+        found = made(*args)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(booked, "leaves", counted)
+    kg = graph(spark, rows)
+    walks = exact_walks(kg, entity_frame(spark, ["r"]), 2, 2, ObjFreqSampler().fit(kg)).collect()
+    assert sizes == [3] and len(walks) == 2 and ("r", "p", "a", "p", "c") in {tuple(r.walk) for r in walks}
