@@ -82,3 +82,28 @@ def test_blank_nodes_stay_apart(spark, tmp_path):
     assert len(inner) == 200 and {o for _, p, o in rows if p == "http://p"} >= inner
     assert sum(s.startswith("_:n1@") for s, _, _ in rows) == 2
     assert len({s for s, p, _ in rows if p == rdf.RDF + "first"}) == 400
+
+
+def test_files_of_whole_lines_are_read_without_python(spark, tmp_path):
+    """Lines that stand alone give the whole-file parser's rows by Spark's expressions; one other line, and the file goes the long way."""
+    lines = [
+        "<http://a> <urn:p> <order:1> .",
+        '<http://a><urn:p>"x \\"y\\" \\n \\\\ . # é \u0085"@en-GB.# note <http://no> .',
+        '  <http://é/b#> <urn:p> "5"^^<http://t#int> .\r',
+        '<http://a> <urn:p> "" .',
+        "# <http://no> <urn:p> <http://no> .",
+        "",
+    ]
+    others = ["<http://a> <urn:p> <rel> .", "_:b <urn:p> <http://o> .", '<http://a> <urn:p> "\\u00e9" .', '<http://a> <urn:p> "\u0001" .', "<http://a> <urn:p>\n <http://o> .", "@prefix e: <http://e#> .\ne:a e:b 5 .", '<http://a> <urn:p> """ .\n<http://a> <urn:p> <http://o> .\n""" .', "<http://a> <urn:p> <http://o> ; <urn:q> 'x' ."]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.ttl").write_bytes("\n".join(lines).encode())
+    got = split_turtle.read_turtle(spark, str(tmp_path / "plain"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rdf.turtle("\n".join(lines)))
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    (tmp_path / "both").mkdir()
+    texts = ["\n".join([*lines, other]) for other in others] + ["\n".join(lines)]
+    for k, text in enumerate(texts):
+        (tmp_path / "both" / f"{k}.ttl").write_bytes(text.encode())
+    got = split_turtle.read_turtle(spark, str(tmp_path / "both"), base="http://base/")
+    plain = lambda rows: sorted(("_:b", *t[1:]) if t[0].startswith("_:b") else t for t in rows)
+    assert plain(tuple(r) for r in got.collect()) == plain(t for text in texts for t in rdf.turtle(text, "http://base/"))

@@ -8,7 +8,8 @@ give each range its state and what is declared before it.  A second pass parses
 the statements that lie within a range; what stands before the first end of a
 statement and after the last one goes, as text, to be joined with its neighbours'.
 
-A file in which a declaration does not stand on a line of its own is read whole
+A file whose lines are each a whole statement without prefixed names, as in N-Triples,
+is parsed by Spark's own expressions.  A file in which a declaration does not stand on a line of its own is read whole
 by one task, with the same rows.
 """
 
@@ -24,10 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from walkweave.spark import stored
+from walkweave.spark import cut, stored
 
+from .ntriples import unescape
 from .rdf import read, turtle, turtle_tokens
 
+#: A line that says the same wherever it stands between statements: whole addresses without escapes (and without what Python may take for white space), and strings without code points or the mark that parts them here.
+_SAFE = r"[!#-;=?-\[\]_a-z~\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{2070}-\x{2fff}\x{3001}-\x{d7ff}\x{e000}-\x{fefe}\x{ff00}-\x{fffd}\x{10000}-\x{10ffff}]"
+_WHOLE = rf"<([A-Za-z][A-Za-z0-9+.-]*:{_SAFE}*+)>"
+_TEXT = rf'"([^"\\\x01]*+(?:\\[^uU\x01][^"\\\x01]*+)*+)"(?:@[A-Za-z]++(?:-[A-Za-z0-9]+)*+|\^\^<[A-Za-z][A-Za-z0-9+.-]*:{_SAFE}*+>)?'
+ALONE = rf"^\s*{_WHOLE}\s*{_WHOLE}\s*(?:{_WHOLE}|{_TEXT})\s*\.\s*(?:#.*)?\z"
+_NOTHING = r"^\s*(?:#.*)?\z"
+
 #: The states: outside, or inside of a long string in double or single quotes.
 OUT, DOUBLE, SINGLE = range(3)
 _ENDS = {DOUBLE: re.compile(r'(?:[^\\"]|\\.|"(?!""))*"""', re.DOTALL), SINGLE: re.compile(r"(?:[^\\']|\\.|'(?!''))*'''", re.DOTALL)}
@@ -212,6 +221,17 @@ def read_turtle(spark: SparkSession, path: str, base: str = "", piece: int = 1 <
     characters are parsed at a time.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    # Whether all lines of a file stand alone: a row for each file.
+    kinds = cut(lines.groupBy("file").agg(F.bool_and(F.col("value").rlike(ALONE) | F.col("value").rlike(_NOTHING)).alias("alone")))
+    alone, rest = (F.broadcast(kinds.where(c).select("file")) for c in ("alone", "NOT alone"))
+    parts = F.split(F.regexp_replace("value", ALONE, "$1\u0001$2\u0001$3$4\u0001"), "\u0001")
+    plain = lines.join(alone, "file", "left_semi").select(parts.alias("x")).where(F.size("x") > 1)
+    plain = plain.select(*[unescape(F.col("x")[i]).alias(c) for i, c in enumerate("spo")])
+    return plain if rest.isEmpty() else plain.unionByName(_read_ranges(spark, lines.join(rest, "file", "left_semi").select("file", "block", "value"), base, piece))
+
+
+def _read_ranges(spark: SparkSession, lines: DataFrame, base: str, piece: int) -> DataFrame:
+    """The triples of ``file, block, value``: lines as Spark's text source reads them, in its order."""
     found = lines.mapInArrow(_first, "file string, block bigint, state int, end int, declared array<string>, odd boolean")
     known: dict[str, list[tuple[int, int, str]]] = {}
     odd: set[str] = set()
