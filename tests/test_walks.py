@@ -155,6 +155,34 @@ def test_wl_labels(spark):
     assert F is not None and bytes_token is not None
 
 
+def test_wl_walks_read_the_hops_near_the_roots(spark, monkeypatch):
+    rows = [("r", "p", "a"), ("a", "q", "b"), ("b", "p", "c")] + [(f"s{i}", "p", "r") for i in range(50)]
+    sizes, stored = [], W.stored
+
+    def counted(df):
+        made = stored(df)
+        sizes.append(made[0].count())
+        return made
+
+    monkeypatch.setattr(W, "stored", counted)
+    got = W.WLWalker(2, wl_iterations=1, md5_bytes=None).extract(graph(spark, rows), roots(spark, ["r"])).collect()
+    assert sizes == [2] and {tuple(r.walk) for r in got} == {("r", "p", "a", "q", "b"), ("r", "p", "a-p", "q", "b-q")}
+
+
+def test_wl_labels_of_the_last_round_store_no_triples(spark, monkeypatch):
+    from walkweave.operators import wl
+
+    cut, columns = wl.cut, []
+
+    def noted(df):
+        columns.append(df.columns)
+        return cut(df)
+
+    monkeypatch.setattr(wl, "cut", noted)
+    assert len(list(wl_labels(graph(spark, LOOP), 3))) == 3
+    assert columns.count(["v", "label"]) == 3 and columns.count(["s", "p", "o", "label"]) == 1
+
+
 WALKERS = [W.RandomWalker, W.AnonymousWalker, W.WalkletWalker, W.NGramWalker, W.SplitWalker, W.HALKWalker, W.WLWalker, W.CommunityWalker]
 
 
