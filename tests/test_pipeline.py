@@ -143,6 +143,33 @@ def test_communities_of_a_planted_graph(spark, resolution):
     assert modularity(kg, found, resolution) > 0.95 * modularity(kg, planted, resolution)
 
 
+def rows_dealt(spark):
+    """Rows that all stages so far have written for others."""
+    double = spark.sparkContext._gateway.jvm.double
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(double, 0), None).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+def test_a_round_of_moves_deals_links_of_half_of_the_nodes(spark):
+    """Two more rounds: each node's links are dealt once with their communities, and once by node."""
+    rng = random.Random(2)
+    links = {(i, rng.randrange(i)) for i in range(1, 200) for _ in range(12)}
+    kg = graph(spark, [(f"n{a}", "p", f"n{b}") for a, b in sorted(links)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = []
+        for rounds in (1, 3):
+            before = rows_dealt(spark)
+            communities(kg, rounds=rounds, levels=1).collect()
+            dealt.append(rows_dealt(spark) - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert dealt[1] - dealt[0] < 2 * 2 * len(links) + 2 * 12 * 200
+
+
 def test_dense_ids(spark):
     names = [f"n{i:04}" for i in range(500)]
     got = dense_ids(spark.createDataFrame([(n,) for n in reversed(names)], "name string").repartition(7), ["name"]).collect()
