@@ -147,3 +147,19 @@ def test_the_graph_is_computed_once(spark):
     kg = KnowledgeGraph(rows.select(seen.asNondeterministic()("s").alias("s"), "p", "o"), distinct=True)
     got = walk_changes(kg, triples(spark, [("b7", "p", "c")]), triples(spark, [("a9", "p", "b9")]), entity_frame(spark, [f"a{i}" for i in range(50)]), 2).collect()
     assert len(got) == 4 and made.value <= 50
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_roots_are_computed_once(spark, depth):
+    """Roots may be all vertices of a graph, which no level computes again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    who = entity_frame(spark, ["a", "b", "c", "a"]).select("entity").mapInArrow(count, "entity string")
+    kg = graph(spark, [("a", "p", "b"), ("b", "p", "c"), ("c", "q", "d")])
+    got = walk_changes(kg, triples(spark, [("b", "q", "e")]), triples(spark, [("c", "q", "d")]), who, depth).collect()
+    assert got and seen.value == 4
