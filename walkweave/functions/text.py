@@ -35,6 +35,20 @@ def node_words(name: Column) -> Column:
     return let(local_name(name), cut)
 
 
+def node_text(name: Column, gap: str) -> Column:
+    """The lower-case :func:`node_words`, joined by ``gap`` (one that is neither letter nor digit), without taking names apart."""
+    own = local_name(name)
+    words = F.btrim(F.regexp_replace(own, "[^A-Za-z0-9]+", gap), F.lit(gap))
+    pair = r"^([A-Za-z]+)([0-9]+)[A-Za-z0-9]*$"
+    split = F.when(words.rlike(pair), F.regexp_replace(words, pair, f"$1{gap}$2")).otherwise(words)
+    return F.lower(F.when(own.rlike(FLOAT) | own.rlike(NAN), float_text(to_float(own))).otherwise(split))
+
+
+def predicate_text(name: Column, gap: str) -> Column:
+    """The lower-case :func:`predicate_words`, joined by ``gap``."""
+    return F.lower(F.array_join(predicate_words(name), gap))
+
+
 def ngrams(name: Column) -> Column:
     """The pieces of a web name around ``#`` and white space; else the name itself."""
     pieces = F.filter(F.split(name, r"[#\s]+"), lambda x: x != "")
