@@ -65,3 +65,30 @@ def test_rare_hops_are_found_once_for_a_pattern(spark):
                 cuts += [keep] if len(keep) >= 3 else []
             want += [(k, e, "-".join(w)) for w in cuts or [[e]]]
     assert got == sorted(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_labels_of_the_first_round_deal_triples_once(spark):
+    """Neither the graph nor its vertices are dealt by subject for labels; triples meet where they end."""
+    from walkweave.operators import wl
+
+    kg = star_graph(spark, SF)
+    assert "REPARTITION_BY_COL" not in plan(kg.vertices())
+    seen, cut = [], wl.cut
+    wl.cut = lambda df: (seen.append(plan(df)), cut(df))[1]
+    try:
+        list(wl.wl_labels(kg, 2, style="hex"))
+    finally:
+        wl.cut = cut
+    assert len(seen) == 2 and not any("REPARTITION_BY_COL" in text or "hashpartitioning(s#" in text for text in seen)
+
+
+def test_ngram_walks_are_dealt_once(spark):
+    rows = [("a", "p", "b"), ("b", "q", "c"), ("c", "r", "d"), ("d", "p", "a"), ("a", "q", "e")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = relabel.ngram_walks(KnowledgeGraph.from_rows(spark, rows).hops(), entity_frame(spark, list("abz")), 3)
+        assert sum("xxhash64" in line and "Exchange" in line for line in plan(made).splitlines()) == 1
+        assert len(made.collect()) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
