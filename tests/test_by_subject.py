@@ -92,3 +92,46 @@ def test_ngram_walks_are_dealt_once(spark):
         assert len(made.collect()) == 4
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def unhinted(spark, make):
+    """What is made without broadcasts that come from sizes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_walks_that_come_and_go_grow_in_the_same_joins(spark):
+    from walkweave.operators.upkeep import walk_changes
+
+    kg = KnowledgeGraph.from_rows(spark, [("a", "p", "b"), ("b", "p", "c"), ("d", "p", "b")])
+    triples = lambda *rows: spark.createDataFrame(list(rows), "s string, p string, o string")
+    made = unhinted(spark, lambda: walk_changes(kg, triples(("c", "q", "x"), ("b", "q", "y")), triples(("b", "p", "c")), entity_frame(spark, ["a", "c"]), 2))
+    text = unhinted(spark, lambda: plan(made))
+    assert sum("xxhash64" in line and "Exchange" in line for line in text.splitlines()) == 1
+    assert sorted(("-".join(r.walk), r.change) for r in made.collect()) == [("a-p-b-p-c", -1), ("a-p-b-q-y", 1), ("c", -1), ("c-q-x", 1)]
+
+
+def test_sampled_walks_store_no_choices(spark):
+    from walkweave.operators.sampled import sample_walks
+    from walkweave.operators.samplers import ObjFreqSampler
+    from walkweave.spark import folders, shared_folder
+
+    kg = KnowledgeGraph.from_rows(spark, [("a", "p", "b"), ("a", "p", "c"), ("b", "q", "a")])
+    tables = f"{shared_folder(spark)}/tables"
+    before = folders(spark, tables)
+    for split in (False, True):
+        got = sample_walks(kg, entity_frame(spark, ["a", "z"]), 2, 8, ObjFreqSampler(inverse=True, split=split).fit(kg), seed=1).collect()
+        assert {"-".join(r.walk) for r in got} == {"a-p-b-q-a", "a-p-c", "z"}
+    assert folders(spark, tables) == before
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_shares_of_the_star_schema_deal_no_hops_by_their_vertex(spark):
+    from walkweave.operators.samplers import PredFreqSampler
+
+    kg = star_graph(spark, SF)
+    text = unhinted(spark, lambda: plan(PredFreqSampler(True).fit(kg).probabilities(kg.hops())))
+    assert "hashpartitioning(v#" not in text and "ENSURE_REQUIREMENTS" not in text.replace("BroadcastExchange", "")
